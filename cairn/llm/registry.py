@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, packing, secrets
+from . import bpe, exact_dedup, near_dedup, packing, secrets, toxicity
 
 QUERIES = {
     "op3_pack_power_of_two": packing.op3_pack_power_of_two,
+    "op5_bpe_transducer": bpe.op5_bpe_transducer,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
+    "op8_minhash_near_dedup": near_dedup.op8_minhash_near_dedup,
     "op9_secret_scan": secrets.op9_secret_scan,
+    "op10_toxicity": toxicity.op10_toxicity,
 }
 
 SQL = {
+    "op5_bpe_transducer": bpe.op5_bpe_transducer,
     "op6_exact_dedup": exact_dedup.OP6_SQL,
 }
