@@ -72,7 +72,7 @@ def test_graph_search_recall(vectors, clustered):
 
 
 def test_prune_keeps_what_nothing_kept_is_nearer_to():
-    x = np.array([[1.0, 0], [0.9, 0.1], [0.89, 0.12], [0, 1.0]])
+    x = np.array([[1.0, 0], [0.9, 0.1], [0.89, 0.12], [0.2, -1.0]])
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     kept = graph.prune(x[0], np.array([1, 2, 3]), x, 8)
     assert kept == [1, 3]
