@@ -16,11 +16,12 @@ With 48 coordinates and 26 matches a pair of similarity 0.8 is missed with a cha
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 from hashlib import blake2b
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -32,7 +33,7 @@ from .components import connected_components
 COORDINATES = 48
 MATCHES = 26
 #: Members of a list that one task compares; longer lists are compared in blocks.
-BLOCK = 1024
+BLOCK = 512
 #: Words whose hashes a worker remembers at most.
 MEMO_WORDS = 400_000
 
@@ -136,6 +137,18 @@ def _confirm(pairs: DataFrame, width: int, percent: int) -> DataFrame:
     return pairs.select("a", "b", "text_a", "text_b").mapInArrow(run, f"a {node}, b {node}")
 
 
+@contextmanager
+def _arrow_rows(spark, rows: int) -> Iterator[None]:
+    """Bound the rows of an Arrow batch, for rows that hold whole lists or two texts."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def _matches(x: Column, y: Column) -> Column:
     return F.aggregate(F.zip_with(x, y, lambda p, q: (p == q).cast("int")), F.lit(0), lambda s, v: s + v)
 
@@ -168,51 +181,100 @@ def _leaders(postings: DataFrame, order: Column) -> DataFrame:
 def _open_lists(postings: DataFrame, components: DataFrame | None) -> DataFrame:
     """Postings with their components, of lists that reach into two of them or more."""
     if components is not None:
-        postings = postings.drop("part", "n_list").join(small(components).withColumnRenamed("component", "part"), "node", "left").withColumn("part", F.coalesce("part", "node"))
+        # the first pass compared the members of a list of two
+        postings = postings.where("n_list > 2").drop("part", "n_list").join(small(components).withColumnRenamed("component", "part"), "node", "left").withColumn("part", F.coalesce("part", "node"))
     spread = postings.groupBy("pos", "value").agg(F.min("part").alias("p"), F.max("part").alias("q"), F.count(F.lit(1)).alias("n_list")).where("p != q")
     return stash(postings.join(spread.drop("p", "q"), ["pos", "value"]).select("pos", "value", "node", "part", "n_list"), "lists")
 
 
-def _compare_lists(lists: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """All pairs of a list in different components that agree in enough coordinates.
+def _short_hashes(texts: DataFrame, width: int) -> DataFrame:
+    """(node, hashes): the shingles' hashes cut to 32 bits, sorted."""
 
-    A list of n members is dealt over blocks, and each pair of blocks is one group, so a group has
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cut = [np.unique(shingle_hashes(words_of(x.as_py()), width) >> np.uint64(32)).astype("<u4").tobytes() for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cut, pa.binary())], ["node", "hashes"])
+
+    return texts.select("node", "text").mapInArrow(run, "node struct<id:long,mark:long>, hashes binary")
+
+
+def _linked(own: np.ndarray, size: int, others: list[np.ndarray], sizes: np.ndarray, parts: list[tuple], percent: int) -> list[int]:
+    """Which of the others to confirm: of each component the most similar one if it links, else those that
+    would link with one more common shingle (two hashes of 32 bits may fall together)."""
+    common = np.empty(len(others), np.int64)
+    for at in range(0, len(others), 64):
+        part = others[at : at + 64]
+        flat = np.concatenate(part)
+        place = np.minimum(np.searchsorted(own, flat), len(own) - 1)
+        starts = np.cumsum([0] + [len(x) for x in part[:-1]])
+        common[at : at + 64] = np.add.reduceat((own[place] == flat).astype(np.int64), starts)
+    both = size + sizes
+    surplus = 100 * common - percent * (both - common)
+    best: dict[tuple, int] = {}
+    for n in np.flatnonzero(surplus >= 0).tolist():
+        # similarity grows with common / both
+        if parts[n] not in best or common[n] * both[best[parts[n]]] > common[best[parts[n]]] * both[n]:
+            best[parts[n]] = n
+    nearly = np.flatnonzero((surplus < 0) & (surplus + 100 + percent >= 0)).tolist()
+    return [*best.values(), *(n for n in nearly if parts[n] not in best)]
+
+
+def _compare_lists(lists: DataFrame, sets: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """Pairs of a list in different components that agree in enough coordinates and, by their sets, link.
+
+    Of a member's links to one component the best is returned, so what leaves a task grows with
+    components, not with pairs. A list of n members is dealt over blocks, and each pair of blocks is one group, so a group has
     2 * BLOCK members at most however long the list is.
     """
     blocks = F.ceil(F.col("n_list") / BLOCK).cast("int")
+    member = F.struct(F.col("node.id").alias("id"), F.col("node.mark").alias("mark"), F.col("part.id").alias("pid"), F.col("part.mark").alias("pmark"), "own", "n_shingles", "sig", "hashes")
+    open_nodes = stash(lists.select("node").distinct(), "open_nodes")
+    held = _short_hashes(texts.join(open_nodes, "node", "left_semi"), width).join(sets.select("node", "sig", "n_shingles"), "node")
     dealt = (
-        lists.join(sets.select("node", "sig", "n_shingles"), "node")
+        lists.join(held, "node")
         .withColumn("blocks", blocks)
         .withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("pos", "value", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "n_shingles", "sig", "node", "part")
-        .select("*", "node.id", "node.mark", F.col("part.id").alias("pid"), F.col("part.mark").alias("pmark"))
-        .drop("node", "part")
+        .groupBy("pos", "value", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+        .agg(F.collect_list(member).alias("members"))
+        .select((F.col("i") == F.col("j")).alias("same"), "members")
     )
 
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        i, j = key[2], key[3]
-        out = []
-        rows = rows.sort_values(["id", "mark"], ignore_index=True)
-        sig = np.stack(rows["sig"].to_numpy()) if len(rows) else np.zeros((0, COORDINATES), np.int32)
-        size, own = rows["n_shingles"].to_numpy(), rows["own"].to_numpy()
-        pid, pmark = rows["pid"].to_numpy(), rows["pmark"].to_numpy()
-        for k in range(1, len(rows)):
-            ok = (pid[:k] != pid[k]) | (pmark[:k] != pmark[k])
-            ok &= 100 * np.minimum(size[:k], size[k]) >= percent * np.maximum(size[:k], size[k])
-            if i != j:
-                ok &= own[:k] != own[k]
-            near = np.flatnonzero(ok)
-            near = near[(sig[near] == sig[k]).sum(axis=1) >= MATCHES]
-            out += [(rows.at[k, "id"], rows.at[k, "mark"], rows.at[x, "id"], rows.at[x, "mark"]) for x in near]
-        return pd.DataFrame(out, columns=["a_id", "a_mark", "b_id", "b_mark"], dtype="int64")
-
-    found = dealt.groupBy("pos", "value", "i", "j").applyInPandas(run, "a_id long, a_mark long, b_id long, b_mark long").distinct()
-    return found.select(F.struct(F.col("a_id").alias("id"), F.col("a_mark").alias("mark")).alias("a"), F.struct(F.col("b_id").alias("id"), F.col("b_mark").alias("mark")).alias("b"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            members = batch.column(1)
+            ends = np.cumsum(pc.list_value_length(members).to_numpy(zero_copy_only=False))
+            flat = members.flatten()
+            ids, marks, pids, pmarks, owns, sizes = (flat.field(k).to_numpy(zero_copy_only=False) for k in range(6))
+            hashes = [np.frombuffer(x, "<u4") for x in flat.field(7).to_pylist()]
+            sigs = flat.field(6).flatten().to_numpy(zero_copy_only=False).reshape(-1, COORDINATES)
+            found: list[np.ndarray] = []
+            at = 0
+            for same, end in zip(batch.column(0).to_pylist(), ends.tolist(), strict=True):
+                for k in range(at + 1, end):
+                    ok = (pids[at:k] != pids[k]) | (pmarks[at:k] != pmarks[k])
+                    ok &= 100 * np.minimum(sizes[at:k], sizes[k]) >= percent * np.maximum(sizes[at:k], sizes[k])
+                    if not same:
+                        ok &= owns[at:k] != owns[k]
+                    near = at + np.flatnonzero(ok)
+                    if len(near):
+                        near = near[(sigs[near] == sigs[k]).sum(axis=1) >= MATCHES]
+                        if len(near):
+                            parts = list(zip(pids[near].tolist(), pmarks[near].tolist(), strict=True))
+                            near = near[_linked(hashes[k], sizes[k], [hashes[n] for n in near], sizes[near], parts, percent)]
+                            found.append(np.stack([np.full(len(near), k), near]))
+                at = end
+            a, b = np.concatenate(found, axis=1) if found else np.zeros((2, 0), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (ids[a], marks[a], ids[b], marks[b])], ["a_id", "a_mark", "b_id", "b_mark"])
+
+    found = dealt.mapInArrow(run, "a_id long, a_mark long, b_id long, b_mark long")
+    a, b = (F.struct(F.col(f"{x}_id").alias("id"), F.col(f"{x}_mark").alias("mark")) for x in "ab")
+    return found.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b"))
 
 
 def near_dedup(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", width: int = 5, percent: int = 80) -> DataFrame:
-    """One row per row of ``docs``: id, ``n_shingles``, ``component_id``, ``kept``.
+    """One row per row of ``docs``: id, ``n_shingles``, ``component_id``, ``kept`` and
+    ``text_hash`` (see ``common.text_hash``).
 
     Texts are lower-cased (A-Z), cut into words at ASCII white space, and linked when their sets of
     ``width``-word shingles have a Jaccard similarity of ``percent`` / 100 or more. A text of fewer
@@ -260,8 +322,9 @@ def near_dedup(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
         if turn < 2:
             pairs = _leaders(lists, F.lit(0) if turn == 0 else F.xxhash64("node", "pos", "value"))
         else:
-            pairs = _compare_lists(lists, sets, percent)
-        found = _verified(pairs, sets, texts, width, percent, compared=turn == 2)
+            pairs = _compare_lists(lists, sets, texts, width, percent)
+        with _arrow_rows(docs.sparkSession, 16 if turn == 2 else 1000):
+            found = _verified(pairs, sets, texts, width, percent, compared=turn == 2)
         links = found if links is None else links.unionByName(found)
         components = stash(connected_components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))), "components")
     reps = classes if components is None else classes.join(components, "node", "left")
@@ -276,8 +339,9 @@ def near_dedup(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
     )
     result = signed.join(small(moved, BROADCAST_ROWS // 2), ["id", "mark"], "left")
     component = F.coalesce("component_id", "id")
-    return result.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
+    kept = F.col("id").eqNullSafe(component)
+    return result.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), kept.alias("kept"), F.col("mark").alias("text_hash"))
 
 
 def op8_minhash_near_dedup(spark, sf_dir: str) -> DataFrame:
-    return near_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"), width=2)
+    return near_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"), width=2).drop("text_hash")

@@ -66,7 +66,7 @@ def test_long_lists_are_compared_in_blocks(spark, monkeypatch):
 
 def test_repeated_rows_null_ids_and_empty_table(spark):
     docs = spark.createDataFrame([(1, "a b c"), (1, "a b c"), (None, "a b c"), (2, "A B C")], "doc_id long, text string")
-    got = sorted(map(tuple, nd.near_dedup(docs, width=2).collect()), key=str)
+    got = sorted(map(tuple, nd.near_dedup(docs, width=2).drop("text_hash").collect()), key=str)
     assert got == sorted([(1, 2, 1, True), (1, 2, 1, True), (None, 2, None, True), (2, 2, 1, False)], key=str)
     assert nd.near_dedup(docs.limit(0), width=2).count() == 0
 
