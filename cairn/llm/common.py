@@ -6,7 +6,7 @@ import os
 import uuid
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of narrow key tables (at most ~40 bytes a row) that may be broadcast; beyond it joins shuffle.
@@ -44,10 +44,15 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
-def drop_ids(docs: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
-    """Rows of ``docs`` whose id is not in ``ids`` (null matches null)."""
-    gone = small(ids.select(F.col(id_col).alias("_gone")).distinct())
-    return docs.join(gone, docs[id_col].eqNullSafe(gone["_gone"]), "left_anti")
+def text_hash(text_col: str) -> Column:
+    """What tells apart the texts of rows that share an id."""
+    return F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+
+
+def drop_rows(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` without the rows whose id and text hash are in ``gone`` (null matches null)."""
+    keys = small(stash(gone.select(F.col(id_col).alias("_id"), F.col("text_hash").alias("_hash")).distinct(), "gone"))
+    return docs.join(keys, docs[id_col].eqNullSafe(keys["_id"]) & (text_hash(text_col) == keys["_hash"]), "left_anti")
 
 
 def ship(spark: SparkSession) -> None:

@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stash
+from .common import drop_rows, stash, text_hash
 
 #: Bits that one bitmap of the bitmap functions has.
 BITMAP_BITS = 32768
@@ -117,7 +117,8 @@ class DigestIndex:
 
 
 def exact_dedup(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", keep: str = "min", memtables: int = 4) -> DataFrame:
-    """One row per row of ``docs``: id, ``keep_id``, ``group_size``, ``kept``, ``text_sha256``.
+    """One row per row of ``docs``: id, ``keep_id``, ``group_size``, ``kept``, ``text_sha256`` and
+    ``text_hash`` (see ``common.text_hash``).
 
     Rows are copies when their texts have the same bytes; null counts as the empty text, and all
     empty texts are copies of one another. Of a group, the row with the smallest identifier stays
@@ -159,11 +160,28 @@ def exact_dedup(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
         F.coalesce("n", F.lit(1)).cast("long").alias("group_size"),
         F.col("id").eqNullSafe(keep_id).alias("kept"),
         F.lower(F.hex("digest")).alias("text_sha256"),
+        F.col("mark").alias("text_hash"),
     )
 
 
+def drop_copies(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", keep: str = "min") -> DataFrame:
+    """``docs`` with one row of each group of copies, all columns as they were.
+
+    Rows that repeat an id and its text count as copies too: one of them stays.
+    """
+    decided = stash(exact_dedup(docs, text_col, id_col, keep), "decided")
+    left = drop_rows(docs, decided.where("NOT kept"), id_col, text_col)
+    again = decided.where("kept AND group_size > 1").groupBy(id_col, "text_hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    if again.isEmpty():
+        return left
+    single = drop_rows(left, again, id_col, text_col)
+    keys = again.select(F.col(id_col).alias("_id"), F.col("text_hash").alias("_hash"))
+    repeated = left.join(keys, left[id_col].eqNullSafe(keys["_id"]) & (text_hash(text_col) == keys["_hash"]), "left_semi")
+    return single.unionByName(repeated.dropDuplicates([id_col, text_col]))
+
+
 def op6_exact_dedup(spark, sf_dir: str) -> DataFrame:
-    return exact_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"), keep="max")
+    return exact_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"), keep="max").drop("text_hash")
 
 
 OP6_SQL = """

@@ -11,6 +11,7 @@ import base64
 import re
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -126,6 +127,20 @@ def scan_secrets(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id"
     return source.mapInArrow(run, schema).withColumnRenamed("id", id_col)
 
 
+def redactor(spark, ratio: float = RATIO, vocabulary: str | None = None):
+    """A column function from texts to texts with their secrets replaced; null stays null."""
+    path = vocabulary or tokenizer_path("byte_bpe_50k.tiktoken")
+    ship(spark)
+
+    @F.pandas_udf("string")
+    def clean(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        enc = encoding(path)
+        for part in texts:
+            yield pd.Series([redact(x, find_secrets(x, enc, ratio)) if x else x for x in part], dtype=object)
+
+    return clean
+
+
 def op9_secret_scan(spark, sf_dir: str) -> DataFrame:
     found = scan_secrets(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base_spans", 256).alias("base_sha256"), "spans")

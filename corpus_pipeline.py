@@ -5,12 +5,46 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm.common import drop_ids, stash
-from cairn.llm.exact_dedup import exact_dedup
-from cairn.llm.packing import digests, pack_power_of_two
-from cairn.llm.secrets import scan_secrets
+from cairn.llm import near_dedup, packing, secrets, toxicity
+from cairn.llm.common import drop_rows, stash
+from cairn.llm.exact_dedup import drop_copies
 
-STAGES = []
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that a classifier trained on the labelled ones among them doesn't call toxic."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    score = toxicity.scorer(spark, toxicity.train(docs, labels))
+    return docs.where(score(F.col("text")) < 0.5)
+
+
+def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the row with the largest doc_id."""
+    return drop_copies(docs, keep="max")
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near-duplicates (five-word shingles, similarity 0.8) the row with the smallest doc_id."""
+    return drop_rows(docs, near_dedup.near_dedup(docs).where("NOT kept"))
+
+
+def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with the secrets in their texts replaced."""
+    docs = docs.withColumn("text", secrets.redactor(spark)(F.col("text")))
+    return docs.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else docs
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents' ids, each a sequence of its own."""
+    return packing.digests(packing.pack_power_of_two(docs))
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("exact dedup", drop_exact_copies),
+    ("near dedup", drop_near_copies),
+    ("secret scan", redact_secrets),
+    ("packing", pack),
+]
 
 #: Tokenizers, a trained classifier and signatures have no SQL form; tests compare with brute force.
 ORACLE_SQL = None
@@ -19,7 +53,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply the stages to ``documents``, each written and read again before the next."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (name, stage) in enumerate(STAGES):
+    for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = stash(docs, f"stage{k}")

@@ -3,7 +3,7 @@ from hashlib import sha256
 
 import pytest
 
-from cairn.llm.exact_dedup import DigestIndex, build_filter, exact_dedup, filter_bits, fingerprints, through_filter
+from cairn.llm.exact_dedup import DigestIndex, build_filter, drop_copies, exact_dedup, filter_bits, fingerprints, through_filter
 
 ROWS = [(1, "a", "x"), (2, "a", "y"), (3, None, "z"), (4, "", None), (5, "b" * 50_000, "x"), (6, "b" * 50_000 + " ", "x"), (7, "A", "q"), (7, "A", "q"), (None, "n", "n"), (9, "a", "w")]
 SCHEMA = "doc_id long, text string, digest string"
@@ -20,10 +20,17 @@ def test_against_brute_force(spark, keep):
         ids = [x for x in groups[t or ""] if x is not None]
         k = pick(ids) if ids else None
         want.append((i, k, len(groups[t or ""]), i == k, sha256((t or "").encode()).hexdigest()))
-    got = exact_dedup(spark.createDataFrame(ROWS, SCHEMA), keep=keep).collect()
+    got = exact_dedup(spark.createDataFrame(ROWS, SCHEMA), keep=keep).drop("text_hash").collect()
     assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
 
 
+def test_dropping_leaves_one_of_each(spark):
+    docs = spark.createDataFrame(ROWS, SCHEMA)
+    left = drop_copies(docs)
+    assert left.columns == docs.columns
+    assert sorted((r.text or "")[:3] + str(r.doc_id) for r in left.collect()) == sorted(["a1", "3", "bbb5", "bbb6", "A7", "nNone"])
+
+
 def test_empty(spark):
     assert exact_dedup(spark.createDataFrame([], SCHEMA)).count() == 0
 
