@@ -72,7 +72,12 @@ def _bands(shingles: Column) -> Column:
     """Array of the band keys of a set of shingle hashes."""
     seeds = F.array([F.lit(k) for k in range(BANDS * ROWS)])
     minima = F.transform(seeds, lambda k: F.array_min(F.transform(shingles, lambda h: F.xxhash64(h, k))))
-    return F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.struct(b.alias("band"), F.xxhash64(F.slice(minima, b * ROWS + 1, ROWS)).alias("key")))
+
+    def keys(m: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.struct(b.alias("band"), F.xxhash64(F.slice(m, b * ROWS + 1, ROWS)).alias("key")))
+
+    # bound to a variable, the minima are computed once a set
+    return F.transform(F.array(minima), keys)[0]
 
 
 def scan_licenses(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", templates: dict[str, str] | None = None, percent: int = PERCENT) -> DataFrame:
