@@ -34,6 +34,8 @@ COORDINATES = 48
 MATCHES = 26
 #: Members of a list that one task compares; longer lists are compared in blocks.
 BLOCK = 512
+#: Lists of up to so many members are compared on signatures alone before texts are.
+SHORT = 64
 #: Words whose hashes a worker remembers at most.
 MEMO_WORDS = 400_000
 
@@ -153,7 +155,13 @@ def _matches(x: Column, y: Column) -> Column:
     return F.aggregate(F.zip_with(x, y, lambda p, q: (p == q).cast("int")), F.lit(0), lambda s, v: s + v)
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, texts: DataFrame, width: int, percent: int, compared: bool = False) -> DataFrame:
+def _texts(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, text) of some nodes, straight from the documents; only these texts are exchanged."""
+    keys = small(nodes.select("node.id", "node.mark"))
+    return rows.join(keys, ["id", "mark"], "left_semi").select(F.struct("id", "mark").alias("node"), "text")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, rows: DataFrame, width: int, percent: int, compared: bool = False) -> DataFrame:
     """Distinct pairs (a, b) above the match threshold that hold on the texts."""
     pairs = pairs.distinct()
     if not compared:
@@ -166,6 +174,8 @@ def _verified(pairs: DataFrame, sets: DataFrame, texts: DataFrame, width: int, p
             .select("a", "b")
         )
     pairs = stash(pairs, "pairs")
+    nodes = stash(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "pair_nodes")
+    texts = stash(_texts(rows, nodes).dropDuplicates(["node"]), "texts")
     joined = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
     joined = joined.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
     return stash(_confirm(joined, width, percent), "links")
@@ -219,19 +229,22 @@ def _linked(own: np.ndarray, size: int, others: list[np.ndarray], sizes: np.ndar
     return [*best.values(), *(n for n in nearly if parts[n] not in best)]
 
 
-def _compare_lists(lists: DataFrame, sets: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """Pairs of a list in different components that agree in enough coordinates and, by their sets, link.
+def _compare_lists(lists: DataFrame, sets: DataFrame, rows: DataFrame, width: int, percent: int) -> DataFrame:
+    """Pairs of a list in different components that agree in enough coordinates and, in lists of more
+    than ``SHORT`` members, link by their sets.
 
-    Of a member's links to one component the best is returned, so what leaves a task grows with
-    components, not with pairs. A list of n members is dealt over blocks, and each pair of blocks is one group, so a group has
+    Members of such lists bring their sets along; of a member's links to one component the best is
+    returned, so what leaves a task grows with components, not with pairs. A list of n members is dealt over blocks, and each pair of blocks is one group, so a group has
     2 * BLOCK members at most however long the list is.
     """
     blocks = F.ceil(F.col("n_list") / BLOCK).cast("int")
     member = F.struct(F.col("node.id").alias("id"), F.col("node.mark").alias("mark"), F.col("part.id").alias("pid"), F.col("part.mark").alias("pmark"), "own", "n_shingles", "sig", "hashes")
-    open_nodes = stash(lists.select("node").distinct(), "open_nodes")
-    held = _short_hashes(texts.join(open_nodes, "node", "left_semi"), width).join(sets.select("node", "sig", "n_shingles"), "node")
+    held = sets.select("node", "sig", "n_shingles")
+    long = F.col("n_list") > SHORT
+    hashes = stash(_short_hashes(_texts(rows, stash(lists.where(long).select("node").distinct(), "open_nodes")), width).dropDuplicates(["node"]), "hashes")
+    with_sets = lists.where(long).join(held.join(hashes, "node"), "node")
     dealt = (
-        lists.join(held, "node")
+        lists.where(~long).join(held, "node").withColumn("hashes", F.lit(None).cast("binary")).unionByName(with_sets)
         .withColumn("blocks", blocks)
         .withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -246,7 +259,7 @@ def _compare_lists(lists: DataFrame, sets: DataFrame, texts: DataFrame, width: i
             ends = np.cumsum(pc.list_value_length(members).to_numpy(zero_copy_only=False))
             flat = members.flatten()
             ids, marks, pids, pmarks, owns, sizes = (flat.field(k).to_numpy(zero_copy_only=False) for k in range(6))
-            hashes = [np.frombuffer(x, "<u4") for x in flat.field(7).to_pylist()]
+            hashes = [x and np.frombuffer(x, "<u4") for x in flat.field(7).to_pylist()]
             sigs = flat.field(6).flatten().to_numpy(zero_copy_only=False).reshape(-1, COORDINATES)
             found: list[np.ndarray] = []
             at = 0
@@ -259,10 +272,10 @@ def _compare_lists(lists: DataFrame, sets: DataFrame, texts: DataFrame, width: i
                     near = at + np.flatnonzero(ok)
                     if len(near):
                         near = near[(sigs[near] == sigs[k]).sum(axis=1) >= MATCHES]
-                        if len(near):
+                        if len(near) and hashes[k] is not None:
                             parts = list(zip(pids[near].tolist(), pmarks[near].tolist(), strict=True))
                             near = near[_linked(hashes[k], sizes[k], [hashes[n] for n in near], sizes[near], parts, percent)]
-                            found.append(np.stack([np.full(len(near), k), near]))
+                        found.append(np.stack([np.full(len(near), k), near]))
                 at = end
             a, b = np.concatenate(found, axis=1) if found else np.zeros((2, 0), np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in (ids[a], marks[a], ids[b], marks[b])], ["a_id", "a_mark", "b_id", "b_mark"])
@@ -309,8 +322,6 @@ def near_dedup(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
         "postings",
     )
     candidates = stash(postings.select("node").distinct(), "candidates")
-    keys = small(candidates.select("node.id", "node.mark"))
-    texts = stash(rows.join(keys, ["id", "mark"], "left_semi").select(F.struct("id", "mark").alias("node"), "text").dropDuplicates(["node"]), "texts")
     classes = sets.select("digest", "n", "node")
     sets = stash(sets.join(candidates, "node", "left_semi"), "candidate_sets")
     links = components = None
@@ -322,9 +333,9 @@ def near_dedup(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
         if turn < 2:
             pairs = _leaders(lists, F.lit(0) if turn == 0 else F.xxhash64("node", "pos", "value"))
         else:
-            pairs = _compare_lists(lists, sets, texts, width, percent)
+            pairs = _compare_lists(lists, sets, rows, width, percent)
         with _arrow_rows(docs.sparkSession, 16 if turn == 2 else 1000):
-            found = _verified(pairs, sets, texts, width, percent, compared=turn == 2)
+            found = _verified(pairs, sets, rows, width, percent, compared=turn == 2)
         links = found if links is None else links.unionByName(found)
         components = stash(connected_components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))), "components")
     reps = classes if components is None else classes.join(components, "node", "left")

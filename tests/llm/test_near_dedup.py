@@ -55,6 +55,7 @@ def test_against_brute_force(spark, width):
 
 def test_long_lists_are_compared_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(nd, "BLOCK", 4)
+    monkeypatch.setattr(nd, "SHORT", 3)
     rng = random.Random(5)
     base = [f"w{k}" for k in range(300)]
     far = [edited(base, 22, rng) for _ in range(40)]
