@@ -2,7 +2,9 @@
 
 Natural words compress to few tokens, random strings don't: a run of key characters with mixed
 classes whose characters-per-token ratio is low is taken for a secret, unless it is a digest of a
-known length or an identifier. Work is per row; no exchange.
+known length or an identifier. Runs join keys to paths, URLs and names, whose words raise the
+ratio, so the parts between separators and the low-ratio spans of a run are tested too. Work is
+per row; no exchange.
 """
 
 from __future__ import annotations
@@ -22,13 +24,20 @@ KINDS = ("assign", "access", "hex", "random")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
-#: Runs that may be random strings, of 20 characters or more.
-RUN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+#: Runs with a digit, of 8 characters or more, that may be or hold random strings; they start where no run goes on.
+RUN = re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])[A-Za-z0-9+/_=-]{8,}")
+PART = re.compile(r"[A-Za-z0-9]{8,}")
+#: Strings with separators count as one from this length on.
+LONG = 20
+SEPARATORS = "+/_=-"
 DIGIT, UPPER, LOWER = re.compile(r"[0-9]"), re.compile(r"[A-Z]"), re.compile(r"[a-z]")
 #: Lengths of hexadecimal digests: MD5, SHA-1, SHA-224, SHA-256, SHA-384, SHA-512.
 DIGEST_LENGTHS = {32, 40, 56, 64, 96, 128}
 HEX_ONLY = re.compile(r"[0-9a-f]+|[0-9A-F]+")
 UUID = re.compile(r"[0-9A-Fa-f]{8}-(?:[0-9A-Fa-f]{4}-){3}[0-9A-Fa-f]{12}")
+UUID_PART = re.compile(rf"(?<![A-Za-z0-9]){UUID.pattern}(?![A-Za-z0-9])")
+#: Short parts that are a word and a number, or a time.
+SERIAL = re.compile(r"(?:[A-Za-z]?[a-z]+|[A-Z]+)[0-9]+|[0-9]+(?:[A-Za-z]?[a-z]+|[A-Z]+)|[0-9]{2,8}T[0-9]{2,6}Z?")
 #: Words joined by separators, each all letters or all digits: names, paths, dates, serials.
 NAME = re.compile(r"(?:[A-Za-z]?[a-z]+|[A-Z]+|[0-9]+)(?:[-_/=+](?:[A-Za-z]?[a-z]+|[A-Z]+|[0-9]+))*")
 #: Characters per token: below this a run counts as random. Base64 of random bytes lies near 1.5, prose above 2.5.
@@ -54,14 +63,83 @@ def is_identifier(s: str) -> bool:
     return bool((HEX_ONLY.fullmatch(s) and len(s) in DIGEST_LENGTHS) or UUID.fullmatch(s) or NAME.fullmatch(s))
 
 
+def _suspect(s: str) -> bool:
+    return bool(DIGIT.search(s) and (UPPER.search(s) or LOWER.search(s))) and not is_identifier(s)
+
+
+def _low_spans(s: str, enc, ratio: float) -> list[tuple[int, int]]:
+    """The maximal spans of tokens with fewer than ``ratio`` characters a token (Ruzzo and Tompa)."""
+    # start, end, total before and total after of each candidate; below: the nearest earlier one that started lower
+    spans: list[tuple[int, int, float, float, int]] = []
+    at, total = 0, 0.0
+    for token in enc.encode_ordinary(s):
+        size = len(enc.decode_single_token_bytes(token))
+        start, end, before, after = at, at + size, total, total + ratio - size
+        at, total = end, after
+        if after <= before:
+            continue
+        while True:
+            k = len(spans) - 1
+            while k >= 0 and spans[k][2] >= before:
+                k = spans[k][4]
+            if k < 0 or spans[k][3] >= after:
+                spans.append((start, end, before, after, k))
+                break
+            start, before = spans[k][0], spans[k][2]
+            del spans[k:]
+    return [x[:2] for x in spans]
+
+
+def _inner_runs(s: str, enc, ratio: float) -> list[tuple[int, int]]:
+    """Random strings in a run that is none as a whole; overlapping ones as one."""
+    known = [m.span() for m in UUID_PART.finditer(s)]
+    found, cuts = [], list(known)
+    for m in PART.finditer(s):
+        part = m.group()
+        if any(a <= m.start() and m.end() <= b for a, b in known):
+            continue
+        if is_identifier(part):
+            cuts += [m.span()] * (HEX_ONLY.fullmatch(part) is not None and len(part) in DIGEST_LENGTHS)
+        elif _suspect(part) and (len(part) >= LONG or not SERIAL.fullmatch(part)) and len(part) < ratio * len(enc.encode_ordinary(part)):
+            found.append(m.span())
+    at = 0
+    for cut, after in [*sorted(cuts), (len(s), len(s))]:
+        piece, base, at = s[at:cut], at, after
+        if len(piece) < LONG:
+            continue
+        for a, b in _low_spans(piece, enc, ratio):
+            if b - a < LONG // 2:
+                continue
+            # a key's first and last tokens may be long: whole parts
+            while a > 0 and piece[a - 1] not in SEPARATORS:
+                a -= 1
+            while b < len(piece) and piece[b] not in SEPARATORS:
+                b += 1
+            inner = piece[a:b].rstrip("/_-")
+            b = a + len(inner)
+            a = b - len(inner.lstrip(SEPARATORS))
+            plain = all(NAME.fullmatch(x) or SERIAL.fullmatch(x) for x in re.split("[+/_=-]+", piece[a:b]) if x)
+            if b - a >= LONG and _suspect(piece[a:b]) and not plain:
+                found.append((base + a, base + b))
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(found):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
 def random_runs(text: str, enc, ratio: float = RATIO) -> list[tuple[int, int]]:
     out = []
     for m in RUN.finditer(text):
         s = m.group()
-        if not (DIGIT.search(s) and (UPPER.search(s) or LOWER.search(s))) or is_identifier(s):
+        if not _suspect(s):
             continue
-        if len(s) < ratio * len(enc.encode_ordinary(s)):
+        if len(s) >= LONG and len(s) < ratio * len(enc.encode_ordinary(s)):
             out.append(m.span())
+        else:
+            out += [(m.start() + a, m.start() + b) for a, b in _inner_runs(s, enc, ratio)]
     return out
 
 

@@ -1,4 +1,6 @@
+import random
 import re
+import string
 from hashlib import sha256
 
 import pytest
@@ -34,6 +36,34 @@ def test_identifiers_and_words_do_not(text):
     assert not [x for x in sc.find_secrets(text, ENC) if x[1] == 3]
 
 
+@pytest.mark.parametrize("before", ["https://hooks.example.com/services/production/notifications/webhooks/incoming/", "/home/application/configuration/credentials/", "aws_session_credentials_for_production_deployment="])
+@pytest.mark.parametrize("size", [12, 24, 32])
+def test_random_strings_behind_words(before, size):
+    rng = random.Random(size)
+    for _ in range(100):
+        key = "7b" + "".join(rng.choices(string.ascii_letters + string.digits, k=size - 4)) + "Q4"
+        found = [x for x in sc.find_secrets(before + key, ENC) if x[1] == 3]
+        assert any(a <= len(before) and b == len(before + key) for a, _, b in found), key
+
+
+def test_base64_behind_words():
+    key = "q7/p0+K2m/9wL/4TnB8+Yd3/hJ6f/a8X+2c="
+    before = "/home/application/configuration/credentials/internationalization/documents/"
+    assert any(k == 3 and a <= len(before) and b == len(before + key) for a, k, b in sc.find_secrets(before + key, ENC))
+
+
+@pytest.mark.parametrize("size", [8, 12, 16, 19])
+def test_short_random_strings(size):
+    rng = random.Random(size)
+    keys = ["7b" + "".join(rng.choices(string.ascii_letters + string.digits, k=size - 4)) + "Q4" for _ in range(100)]
+    assert sum((4, 3, 4 + size) in sc.find_secrets(f"key {key}.", ENC) for key in keys) >= 95
+
+
+@pytest.mark.parametrize("text", ["/home/users/documents/123e4567-e89b-12d3-a456-426614174000/index", "production/checksums/D41D8CD98F00B204E9800998ECF8427E/documents", "/archive/2024-01-15T10/version20240115/20240115T103000Z/documents"])
+def test_identifiers_behind_words_do_not(text):
+    assert not [x for x in sc.find_secrets(text, ENC) if x[1] == 3]
+
+
 def test_redaction_merges_overlaps():
     assert sc.redact("abcdefgh", [(1, 0, 4), (2, 2, 5), (7, 3, 8)], "#") == "a#fg#"
 
