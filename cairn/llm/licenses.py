@@ -3,8 +3,10 @@
 Texts are cut into overlapping windows of words. A window's word shingles, as far as any template
 has them, are signed with MinHash, and bands of the signatures retrieve templates from a broadcast
 table of fixed size; the exact share of a template's shingles that the window holds decides.
-With ``BANDS`` bands of one row a window of similarity 0.1 to a template meets it with a chance of
-0.998, one of 0.3 with 1 - 1e-10.
+A window full of other templates' shingles is little similar to a short one that it holds, so
+bands are relied on only for templates that they miss there with a chance below ``MISS``; the
+others are retrieved by shingles of their own, so many that a window without any of them holds too
+few (see ``by_shingles``).
 
 Texts that lack certain words of every template are skipped first: the words are chosen so that
 too few of a template's shingles are left without one to reach the containment (see ``anchors``).
@@ -38,6 +40,8 @@ SHINGLE, WINDOW, STRIDE = 3, 64, 32
 BANDS, ROWS = 64, 1
 #: Share of a template's shingles that a window must hold, in percent.
 PERCENT = 80
+#: Chance, at most, that bands miss a window that holds just enough of a template.
+MISS = 1e-9
 WORD = "[a-z0-9]+"
 
 
@@ -64,6 +68,15 @@ def anchors(shingles: list[str], percent: int = PERCENT) -> set[str]:
     return chosen
 
 
+def by_shingles(shingles: list[str], percent: int = PERCENT) -> list[str]:
+    """The shingles that retrieve a template exactly, none where bands do."""
+    need = max(1, ceil(percent * len(shingles) / 100))
+    similarity = need / (len(shingles) + WINDOW - SHINGLE + 1 - need)
+    if (1 - similarity**ROWS) ** BANDS <= MISS:
+        return []
+    return shingles[: len(shingles) - need + 1]
+
+
 def _hash(words: list[Column]) -> Column:
     return F.xxhash64(F.concat_ws(" ", *words))
 
@@ -95,7 +108,10 @@ def scan_licenses(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id
     table = spark.createDataFrame([(n, s) for n, own in known.items() for s in own], "license_id string, shingle string").select("license_id", F.xxhash64("shingle").alias("h"))
     wanted = table.groupBy("license_id").agg(F.array_sort(F.collect_set("h")).alias("wanted"))
     universe = F.broadcast(table.select("h").distinct())
-    posted = F.broadcast(wanted.select("license_id", "wanted", F.explode(_bands(F.col("wanted"))).alias("b")).select("license_id", "wanted", "b.band", "b.key"))
+    exact = [(n, s) for n, own in known.items() for s in by_shingles(own, percent)]
+    whole = wanted.join(spark.createDataFrame(exact, "license_id string, shingle string"), "license_id").select("license_id", "wanted", F.lit(-1).alias("band"), F.xxhash64("shingle").alias("key"))
+    banded = wanted.where(~F.col("license_id").isin(sorted({n for n, _ in exact}))).select("license_id", "wanted", F.explode(_bands(F.col("wanted"))).alias("b"))
+    posted = F.broadcast(banded.select("license_id", "wanted", "b.band", "b.key").union(whole))
     words_needed = sorted({w for own in known.values() for w in anchors(own, percent)})
 
     def mentioned(text: Column) -> Column:
@@ -118,7 +134,7 @@ def scan_licenses(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id
         .agg(F.collect_set("h").alias("own"))
     )
     found = (
-        windows.select("id", "mark", "window", "own", F.explode(_bands(F.col("own"))).alias("b"))
+        windows.select("id", "mark", "window", "own", F.explode(F.concat(_bands(F.col("own")), F.transform("own", lambda h: F.struct(F.lit(-1).alias("band"), h.alias("key"))))).alias("b"))
         .select("id", "mark", "window", "own", "b.band", "b.key")
         .join(posted, ["band", "key"])
         .select("id", "mark", "window", "license_id", F.size(F.array_intersect("own", "wanted")).alias("n"), F.size("wanted").alias("of"))

@@ -45,6 +45,16 @@ def test_against_all_windows_and_templates(spark):
     assert all(r.shingles_all == len(SHINGLES[r.license_id]) for r in lc.scan_licenses(docs).collect())
 
 
+def test_short_licenses_beside_notices(spark):
+    notices = [lc.TEMPLATES[n] for n in ("MIT-notice", "GPL-notice", "Apache-notice", "BSD-notice", "MPL-2.0")]
+    rows = [f"Copyright X. {short} {one}" for short in lc.TEMPLATES.values() for one in notices]
+    rows += [f"Copyright X. {short} {one} {other}" for short in lc.TEMPLATES.values() for one in notices for other in notices if one != other]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = {(r.doc_id, r.license_id): (r.n_windows, r.first_word, r.shingles_found) for r in lc.scan_licenses(docs).collect()}
+    assert got == {(i, n): v for i, t in enumerate(rows) for n, v in brute(t).items()}
+    assert (0, "Apache-2.0") in got and all((i, "All-rights-reserved") in got for i, t in enumerate(rows) if "All rights" in t)
+
+
 def test_empty_table(spark):
     assert lc.scan_licenses(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
