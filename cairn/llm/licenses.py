@@ -10,15 +10,22 @@ few (see ``by_shingles``).
 
 Texts that lack certain words of every template are skipped first: the words are chosen so that
 too few of a template's shingles are left without one to reach the containment (see ``anchors``).
+
+Templates too long for a window, such as whole license texts, have windows of as many strides as
+they need. Their shingles are posted one by one, and what the windows hold is added up over the
+places where a shingle comes into reach and leaves it (see ``_scan_long``).
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from math import ceil
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 # Sentences of public licenses and the lines that announce them.
 TEMPLATES = {
@@ -49,17 +56,30 @@ def template_shingles(templates: dict[str, str]) -> dict[str, list[str]]:
     out = {}
     for name, text in templates.items():
         words = re.findall(WORD, text.lower())
-        if not SHINGLE <= len(words) <= WINDOW - STRIDE + SHINGLE - 1:
+        if len(words) < SHINGLE:
             raise ValueError(f"template {name} has {len(words)} words")
         out[name] = sorted({" ".join(words[k : k + SHINGLE]) for k in range(len(words) - SHINGLE + 1)})
     return out
 
 
-def anchors(shingles: list[str], percent: int = PERCENT) -> set[str]:
-    """Words without any of which a text holds too few of the shingles; long words come first."""
+def whole_texts() -> dict[str, str]:
+    """The license texts beside this file, by names that end in ``-text``."""
+    return {f"{p.stem}-text": p.read_text() for p in sorted((Path(__file__).parent / "license_texts").glob("*.txt"))}
+
+
+def strides(text: str) -> int:
+    """How many strides a window must have to hold a template wherever it starts."""
+    words = len(re.findall(WORD, text.lower()))
+    return max(WINDOW // STRIDE, ceil((words - SHINGLE + 1) / STRIDE) + 1)
+
+
+def anchors(shingles: list[str], percent: int = PERCENT, frequent: bool = False) -> set[str]:
+    """Words without any of which a text holds too few of the shingles; long words come first, or
+    words of six letters and more that many of the shingles have."""
     left, chosen = list(shingles), set()
     need = ceil(percent * len(shingles) / 100)
-    for word in sorted({w for s in shingles for w in s.split()}, key=lambda w: (-len(w), w)):
+    counts = Counter(w for s in shingles for w in set(s.split()))
+    for word in sorted(counts, key=lambda w: (len(w) < 6, -counts[w], w) if frequent else (-len(w), w)):
         if len(left) < need:
             break
         if any(word in s.split() for s in left):
@@ -102,17 +122,15 @@ def scan_licenses(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id
     are read. Rows that repeat an id and a text give one row a license; a null id is an id like
     another. Other columns are ignored; an empty table gives an empty table.
     """
-    spark = docs.sparkSession
-    known = template_shingles(templates or TEMPLATES)
-    # as many rows as the templates have shingles, whatever the input
-    table = spark.createDataFrame([(n, s) for n, own in known.items() for s in own], "license_id string, shingle string").select("license_id", F.xxhash64("shingle").alias("h"))
-    wanted = table.groupBy("license_id").agg(F.array_sort(F.collect_set("h")).alias("wanted"))
-    universe = F.broadcast(table.select("h").distinct())
-    exact = [(n, s) for n, own in known.items() for s in by_shingles(own, percent)]
-    whole = wanted.join(spark.createDataFrame(exact, "license_id string, shingle string"), "license_id").select("license_id", "wanted", F.lit(-1).alias("band"), F.xxhash64("shingle").alias("key"))
-    banded = wanted.where(~F.col("license_id").isin(sorted({n for n, _ in exact}))).select("license_id", "wanted", F.explode(_bands(F.col("wanted"))).alias("b"))
-    posted = F.broadcast(banded.select("license_id", "wanted", "b.band", "b.key").union(whole))
-    words_needed = sorted({w for own in known.values() for w in anchors(own, percent)})
+    given = templates or TEMPLATES
+    long = {n: t for n, t in given.items() if strides(t) > WINDOW // STRIDE}
+    short = {n: t for n, t in given.items() if n not in long}
+    parts = [scan(docs, text_col, id_col, chosen, percent) for scan, chosen in ((_scan_short, short), (_scan_long, long)) if chosen]
+    return parts[0].unionByName(parts[1]) if len(parts) == 2 else parts[0]
+
+
+def _shingled(docs: DataFrame, text_col: str, id_col: str, words_needed: list[str]) -> DataFrame:
+    """(id, mark, pos, h): shingles of the texts that hold one of the words."""
 
     def mentioned(text: Column) -> Column:
         found = F.lit(False)
@@ -125,7 +143,48 @@ def scan_licenses(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id
     words = gated.select("id", F.xxhash64("t").alias("mark"), F.regexp_extract_all(F.lower("t"), F.lit(WORD), F.lit(0)).alias("w")).where(F.size("w") >= SHINGLE)
     parts = [F.slice("w", k + 1, F.size("w") - SHINGLE + 1) for k in range(SHINGLE)]
     hashed = words.select("id", "mark", F.posexplode(F.arrays_zip(*[p.alias(f"w{k}") for k, p in enumerate(parts)])).alias("pos", "s"))
-    met = hashed.select("id", "mark", "pos", _hash([F.col("s")[f"w{k}"] for k in range(SHINGLE)]).alias("h")).join(universe, "h")
+    return hashed.select("id", "mark", "pos", _hash([F.col("s")[f"w{k}"] for k in range(SHINGLE)]).alias("h"))
+
+
+def _scan_long(docs: DataFrame, text_col: str, id_col: str, templates: dict[str, str], percent: int) -> DataFrame:
+    """Templates longer than ``WINDOW`` allows. Window w of a template starts at word w * STRIDE and
+    has ``strides`` strides: a shingle lies in a range of windows, and the ranges of its repeats are
+    cut so that each window counts it once."""
+    known = template_shingles(templates)
+    # as many rows as the templates have shingles, whatever the input
+    rows = [(n, strides(templates[n]), len(own), s) for n, own in known.items() for s in own]
+    posted = F.broadcast(docs.sparkSession.createDataFrame(rows, "license_id string, strides int, of int, shingle string").withColumn("h", F.xxhash64("shingle")).drop("shingle"))
+    met = _shingled(docs, text_col, id_col, sorted({w for own in known.values() for w in anchors(own, percent, frequent=True)})).join(posted, "h")
+    last = F.floor(F.col("pos") / STRIDE)
+    earlier = F.lag("last").over(Window.partitionBy("id", "mark", "license_id", "h").orderBy("pos"))
+    reach = met.withColumn("last", last).withColumn("first", F.greatest(F.ceil((F.col("pos") + SHINGLE) / STRIDE) - F.col("strides"), F.lit(0), F.coalesce(earlier + 1, F.lit(0)))).where("first <= last")
+    steps = (
+        reach.select("id", "mark", "license_id", "of", F.explode(F.array(F.struct(F.col("first").alias("window"), F.lit(1).alias("d")), F.struct((F.col("last") + 1).alias("window"), F.lit(-1).alias("d")))).alias("s"))
+        .groupBy("id", "mark", "license_id", "of", "s.window")
+        .agg(F.sum("s.d").alias("d"))
+    )
+    order = Window.partitionBy("id", "mark", "license_id").orderBy("window")
+    held = steps.select("id", "mark", "license_id", "of", "window", F.sum("d").over(order).alias("n"), F.lead("window").over(order).alias("next")).where(100 * F.col("n") >= percent * F.col("of")).where("n > 0")
+    return held.groupBy(F.col("id").alias(id_col), "mark", "license_id").agg(
+        F.sum(F.col("next") - F.col("window")).alias("n_windows"),
+        (F.min("window") * STRIDE).cast("long").alias("first_word"),
+        F.max("n").cast("long").alias("shingles_found"),
+        F.max("of").cast("long").alias("shingles_all"),
+    ).drop("mark")
+
+
+def _scan_short(docs: DataFrame, text_col: str, id_col: str, templates: dict[str, str], percent: int) -> DataFrame:
+    spark = docs.sparkSession
+    known = template_shingles(templates)
+    # as many rows as the templates have shingles, whatever the input
+    table = spark.createDataFrame([(n, s) for n, own in known.items() for s in own], "license_id string, shingle string").select("license_id", F.xxhash64("shingle").alias("h"))
+    wanted = table.groupBy("license_id").agg(F.array_sort(F.collect_set("h")).alias("wanted"))
+    universe = F.broadcast(table.select("h").distinct())
+    exact = [(n, s) for n, own in known.items() for s in by_shingles(own, percent)]
+    whole = wanted.join(spark.createDataFrame(exact, "license_id string, shingle string"), "license_id").select("license_id", "wanted", F.lit(-1).alias("band"), F.xxhash64("shingle").alias("key"))
+    banded = wanted.where(~F.col("license_id").isin(sorted({n for n, _ in exact}))).select("license_id", "wanted", F.explode(_bands(F.col("wanted"))).alias("b"))
+    posted = F.broadcast(banded.select("license_id", "wanted", "b.band", "b.key").union(whole))
+    met = _shingled(docs, text_col, id_col, sorted({w for own in known.values() for w in anchors(own, percent)})).join(universe, "h")
     last = F.floor(F.col("pos") / STRIDE).cast("int")
     windows = (
         met.select("id", "mark", "pos", "h", F.explode(F.array(last, last - 1)).alias("window"))
@@ -149,7 +208,7 @@ def scan_licenses(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id
 
 
 def op7_license_scan(spark, sf_dir: str) -> DataFrame:
-    return scan_licenses(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return scan_licenses(spark.read.parquet(f"{sf_dir}/documents.parquet"), templates=TEMPLATES | whole_texts())
 
 
 def _values() -> str:
@@ -157,7 +216,7 @@ def _values() -> str:
     return ", ".join(f"({quote(n)}, {quote(s)})" for n, own in template_shingles(TEMPLATES).items() for s in own)
 
 
-#: Every window against every template, without signatures.
+#: Every window against every sentence of TEMPLATES, without signatures; whole texts are left to tests.
 OP7_SQL = f"""
 WITH template(license_id, shingle) AS (VALUES {_values()}),
 total AS (SELECT license_id, count(*) AS n_of FROM template GROUP BY ALL),

@@ -55,6 +55,38 @@ def test_short_licenses_beside_notices(spark):
     assert (0, "Apache-2.0") in got and all((i, "All-rights-reserved") in got for i, t in enumerate(rows) if "All rights" in t)
 
 
+def test_whole_texts(spark):
+    rng = random.Random(4)
+    texts = lc.whole_texts()
+    shingles = lc.template_shingles(texts)
+    filler = lambda n: " ".join(rng.choices(["alpha", "license", "software", "program", "of", "the"], k=n))
+    rows = [f"{filler(rng.randrange(200))} {t} {filler(rng.randrange(90))}" for t in texts.values()]
+    words = [t.split() for t in texts.values()]
+    rows += [" ".join(w if rng.random() > 0.06 else "changed" for w in ws) for ws in words]
+    rows += [" ".join(ws[: len(ws) // 2]) for ws in words] + [" ".join(ws[: len(ws) // 2] + ["x"] * 6000 + ws[len(ws) // 2 :]) for ws in words]
+    rows += [texts["MIT-text"] + " x" * 40 + " " + texts["MIT-text"], "", None, lc.TEMPLATES["MIT-notice"]]
+    want = {}
+    for i, text in enumerate(rows):
+        own = re.findall(lc.WORD, (text or "").lower())
+        at = [" ".join(own[k : k + 3]) for k in range(len(own) - 2)]
+        for name, wanted in shingles.items():
+            wanted, size = set(wanted), lc.strides(texts[name]) * lc.STRIDE
+            if 100 * len(wanted & set(at)) < lc.PERCENT * len(wanted):
+                continue
+            held = [(w, len(wanted & set(at[w * lc.STRIDE : w * lc.STRIDE + size - 2]))) for w in range(len(own) // lc.STRIDE + 1)]
+            held = [(w, n) for w, n in held if 100 * n >= lc.PERCENT * len(wanted)]
+            if held:
+                want[i, name] = (len(held), held[0][0] * lc.STRIDE, max(n for _, n in held))
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = {(r.doc_id, r.license_id): (r.n_windows, r.first_word, r.shingles_found) for r in lc.scan_licenses(docs, templates=texts).collect()}
+    assert got == want and all((i, n) in got for i, n in enumerate(texts))
+
+
+def test_query_scans_whole_texts(spark, tmp_path):
+    spark.createDataFrame([(1, lc.whole_texts()["ISC-text"])], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert {r.license_id for r in lc.op7_license_scan(spark, str(tmp_path)).collect()} == {"ISC-text"}
+
+
 def test_empty_table(spark):
     assert lc.scan_licenses(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
