@@ -1,9 +1,9 @@
 """Quotation linking: replies find the messages they quote, and conversations lose their quotes.
 
 Leading ``>`` marks give a line its quote level. Quoted passages and lines are hashed in a
-normalised form and joined to the earliest message that says the same unquoted: of the same
-conversation, else of any. Originals are folded to one row a hash before the join, so a line that
-everybody writes costs no more than another.
+normalised form and joined to the messages that say the same unquoted: to all earlier ones of the
+same conversation, else to the smallest (conv_id, turn) of another. Messages that quote the same
+are folded before the join.
 """
 
 from __future__ import annotations
@@ -71,7 +71,8 @@ def link_quotes(messages: DataFrame, text_col: str = "text") -> DataFrame:
     ``parent_turn``, ``root_conv`` and ``root_turn``, ``depth``.
 
     The parent is the message whose passages are quoted at the lowest level that finds one: of the
-    messages that share hashes, that with the most, then the latest. A message without such a
+    messages that share hashes, that with the most, then the latest; those of other conversations
+    count only where no earlier one of the own does, one message a hash. A message without such a
     quote follows the turn before it in its conversation, if any, and starts a thread of its own
     (depth 0). ``ORDER BY root_conv, root_turn, depth, turn`` reads threads in reply order.
     Null texts are empty; a row without conv_id or turn has no parent. Rows that repeat conv_id and
@@ -101,15 +102,24 @@ def link_quotes(messages: DataFrame, text_col: str = "text") -> DataFrame:
     asked = stash(keyed.where("size(quoted) > 0").select("conv_id", "turn", F.explode("quoted").alias("q")).select("conv_id", "turn", "q.level", "q.h").distinct(), "asked")
     said = keyed.select("conv_id", "turn", F.explode("own").alias("h"))
     wanted = said.join(asked.select("h").distinct(), "h", "left_semi")
-    near = wanted.groupBy("conv_id", "h").agg(F.min("turn").alias("near_turn"))
-    far = wanted.groupBy("h").agg(F.min(F.struct("conv_id", "turn")).alias("far"))
-    votes = (
-        asked.join(near, ["conv_id", "h"], "left").join(far, "h", "left")
-        .withColumn("to", F.when(F.col("near_turn") < F.col("turn"), F.struct(F.col("conv_id").alias("conv_id"), F.col("near_turn").alias("turn"))).when(F.col("far.conv_id") != F.col("conv_id"), F.col("far")))
+    # equal sets of quoted hashes meet the messages of the conversation once
+    digest = F.sha2(F.concat_ws(",", F.transform(F.array_sort(F.collect_set("h")), lambda h: h.cast("string"))), 256)
+    sets = stash(asked.groupBy("conv_id", "turn", "level").agg(digest.alias("q")), "sets")
+    members = asked.join(sets, ["conv_id", "turn", "level"]).select("conv_id", "q", "h").distinct()
+    heard = wanted.select("conv_id", "h", F.col("turn").alias("said")).distinct()
+    shared = members.join(heard, ["conv_id", "h"]).groupBy("conv_id", "q", "said").agg(F.count(F.lit(1)).alias("n"))
+    near = sets.join(_best_before(shared, sets), ["conv_id", "q", "turn"])
+    firsts = wanted.groupBy("h", "conv_id").agg(F.min("turn").alias("turn"))
+    far = firsts.groupBy("h").agg(F.min(F.struct("conv_id", "turn")).alias("far"))
+    other = firsts.join(far, "h").where("conv_id != far.conv_id").groupBy("h").agg(F.min(F.struct("conv_id", "turn")).alias("other"))
+    elsewhere = (
+        asked.join(near, ["conv_id", "turn", "level"], "left_anti").join(far, "h").join(other, "h", "left")
+        .withColumn("to", F.when(F.col("far.conv_id") != F.col("conv_id"), F.col("far")).otherwise(F.col("other")))
         .where("to IS NOT NULL")
         .groupBy("conv_id", "turn", "level", "to")
         .agg(F.count(F.lit(1)).alias("n"))
     )
+    votes = near.select("conv_id", "turn", "level", F.struct("conv_id", F.col("said").alias("turn")).alias("to"), "n").unionByName(elsewhere)
     # the own conversation first, so that two messages of one text in two conversations don't swap
     best = F.max(F.struct((-F.col("level")).alias("a"), (F.col("to.conv_id") == F.col("conv_id")).alias("b"), F.col("n").alias("c"), F.col("to.turn").alias("d"), (-F.col("to.conv_id")).alias("e")))
     links = stash(votes.groupBy("conv_id", "turn").agg(best.alias("m")).select("conv_id", "turn", (-F.col("m.e")).alias("to_conv"), F.col("m.d").alias("to_turn")), "links")
@@ -125,6 +135,20 @@ def link_quotes(messages: DataFrame, text_col: str = "text") -> DataFrame:
     )
 
 
+def _best_before(shared: DataFrame, sets: DataFrame) -> DataFrame:
+    """(conv_id, q, turn, n, said): for each set and turn the message before it that shares most
+    hashes, the latest of them; windows span ``SPAN`` turns however long a conversation is."""
+    best = F.struct("n", "said")
+    asks = sets.select("conv_id", "q", "turn").distinct()
+    events = shared.select("conv_id", "q", F.col("said").alias("turn"), best.alias("v"), F.lit(False).alias("asks")).unionByName(asks.withColumn("asks", F.lit(True)), allowMissingColumns=True)
+    folded = events.groupBy("conv_id", "q", "turn").agg(F.max("v").alias("v"), F.max("asks").alias("asks")).withColumn("span", F.floor(F.col("turn") / SPAN))
+    earlier = lambda *keys: Window.partitionBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
+    inner = folded.withColumn("inner", F.max("v").over(earlier("conv_id", "q", "span").orderBy("turn"))).where("asks")
+    outer = folded.groupBy("conv_id", "q", "span").agg(F.max("v").alias("v")).withColumn("outer", F.max("v").over(earlier("conv_id", "q").orderBy("span"))).drop("v")
+    found = inner.join(outer, ["conv_id", "q", "span"]).select("conv_id", "q", "turn", F.greatest("inner", "outer").alias("m")).where("m IS NOT NULL")
+    return found.select("conv_id", "q", "turn", "m.n", "m.said")
+
+
 def _roots(links: DataFrame) -> DataFrame:
     """(conv_id, turn, root_conv, root_turn, depth) of linked messages, by pointer doubling.
 

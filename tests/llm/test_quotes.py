@@ -41,6 +41,16 @@ def test_links_and_bodies(spark):
     assert got[1, 1].body == "Works for me.\nTry again." and got[1, 2].n_quotes == 2 and got[1, 2].body == "Not here." and got[5, 0].body == ""
 
 
+def test_all_earlier_sayers_are_candidates(spark):
+    rows = [(1, 1, "u", "Thanks"), (1, 2, "u", "See below"), (1, 3, "u", "Thanks\nSee below\nPlan"), (1, 4, "u", "> Thanks\n> See below\nok")]
+    rows += [(2, 1, "u", "Again"), (2, 5, "u", "Again"), (2, 6, "u", "> Again\nyes"), (2, 3000, "u", "> Again\nlate"), (2, 3001, "u", "Again")]
+    rows += [(3, 4, "u", "> Elsewhere\nElsewhere"), (3, 5, "u", "Elsewhere"), (4, 2, "u", "Elsewhere"), (5, 1, "u", "Elsewhere")]
+    got = {(r.conv_id, r.turn): (r.linked, r.parent_conv, r.parent_turn) for r in qt.link_quotes(table(spark, rows)).collect()}
+    assert got[1, 4] == (True, 1, 3)
+    assert got[2, 6] == (True, 2, 5) and got[2, 3000] == (True, 2, 5)
+    assert got[3, 4] == (True, 4, 2)
+
+
 def test_chain_of_replies(spark):
     rows = [(1, k, "u", (f"> message {k - 1}\n" if k else "") + f"message {k}") for k in range(40)]
     got = qt.link_quotes(table(spark, rows)).collect()
