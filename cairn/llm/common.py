@@ -44,6 +44,28 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
+#: Keys that hold so many rows, and one row in ``HOT_SHARE`` or more, are hot: ``HOT_SHARE`` keys at most.
+HOT_LEAST, HOT_SHARE = 10_000, 500
+
+
+def join_unique(rows: DataFrame, unique: DataFrame, keys: list[str]) -> DataFrame:
+    """``rows`` left-joined with ``unique``, which has one row a key at most.
+
+    Rows of hot keys stay where they are: what ``unique`` has for them, ``HOT_SHARE`` rows at most,
+    is broadcast. The others are exchanged. ``rows`` should be cheap to read again.
+    """
+    counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    total = rows.count()
+    hot_rows = max(HOT_LEAST, -(-total // HOT_SHARE))
+    if total < hot_rows:
+        return rows.join(unique, keys, "left")
+    hot = stash(counts.where(F.col("_n") >= hot_rows).drop("_n"), "hot")
+    if hot.isEmpty():
+        return rows.join(unique, keys, "left")
+    there = hot.join(unique, keys, "left")
+    return rows.join(F.broadcast(there), keys).unionByName(rows.join(F.broadcast(hot), keys, "left_anti").join(unique, keys, "left"))
+
+
 def text_hash(text_col: str) -> Column:
     """What tells apart the texts of rows that share an id."""
     return F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
