@@ -20,18 +20,18 @@ from pyspark.sql import functions as F
 from .common import ship
 
 #: n-gram lengths and the number of hashed features.
-LENGTHS, BUCKETS = (4, 5), 1 << 18
+LENGTHS, BUCKETS = (5, 6), 1 << 20
 #: Labelled rows that the classifier is fitted on, at most: half of them of either label.
 MAX_TRAINING_ROWS = 3_000
 #: Features are used when this many rows have them and their log-count ratio is this far from 0.
-MIN_ROWS, MIN_RATIO = 3, 0.7
-_TIMES = np.array([0x9E3779B1, 0x85EBCA6B, 0xC2B2AE35, 0x27D4EB2F, 0x165667B1, 0xB5297A4D], np.uint32)
+MIN_ROWS, MIN_RATIO = 4, 1.5
+_TIMES = np.array([0x9E3779B1, 0x85EBCA6B, 0xC2B2AE35, 0x27D4EB2F, 0x165667B1, 0xB5297A4D, 0x68E31DA5, 0x1B56C4E9], np.uint32)
 
 
 def features(text: str, buckets: int = BUCKETS) -> np.ndarray:
     """Sorted distinct feature numbers of a text; a blank is put at either end."""
     code = np.frombuffer(f" {' '.join(text.lower().split())} ".encode("utf-32-le", "replace"), np.uint32)
-    seen = np.zeros(buckets, np.bool_)
+    found = []
     for n in LENGTHS:
         m = len(code) - n + 1
         if m < 1:
@@ -40,7 +40,12 @@ def features(text: str, buckets: int = BUCKETS) -> np.ndarray:
         for k in range(n):
             h = (h ^ code[k : k + m]) * _TIMES[k]
             h ^= h >> np.uint32(15)
-        seen[h & np.uint32(buckets - 1)] = True
+        found.append(h & np.uint32(buckets - 1))
+    if len(code) < 8192:
+        return np.unique(np.concatenate(found or [code[:0]])).astype(np.int32)
+    seen = np.zeros(buckets, np.bool_)
+    for h in found:
+        seen[h] = True
     return np.flatnonzero(seen).astype(np.int32)
 
 
@@ -54,7 +59,7 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(z, -500, 500))))
 
 
-def fit(rows: list[np.ndarray], labels: np.ndarray, buckets: int = BUCKETS, smoothing: float = 1.0, penalty: float = 3.0, steps: int = 50) -> Model:
+def fit(rows: list[np.ndarray], labels: np.ndarray, buckets: int = BUCKETS, smoothing: float = 1.0, penalty: float = 30.0, steps: int = 50) -> Model:
     """Fit on feature sets and 0/1 labels; without both labels the score is their share everywhere."""
     n = len(rows)
     positive = int(labels.sum()) if n else 0

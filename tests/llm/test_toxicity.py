@@ -1,7 +1,10 @@
+import os
 import random
 import zlib
 
+import duckdb
 import numpy as np
+import pytest
 
 from cairn.llm import toxicity as tx
 
@@ -52,3 +55,25 @@ def test_without_labels_and_without_rows(spark):
 def test_features_are_a_set_of_folded_text():
     assert np.array_equal(tx.features("Some  WORDS here"), tx.features("some words\nhere"))
     assert len(tx.features("")) == 0 and len(tx.features("ab" * 50_000)) < 10
+
+
+SF = "/root/testdata/sf0.1"
+
+
+@pytest.mark.skipif(not os.path.exists(SF), reason="no test data")
+def test_held_out_recall_and_precision(spark):
+    """Of the held-out toxic rows of four languages; about 6 % of the toxic labels there are noise."""
+    read = lambda name: spark.read.parquet(f"{SF}/{name}.parquet")
+    labels = read("labels")
+    got = tx.score_toxicity(read("documents").join(labels.select("doc_id"), "doc_id"), labels).where("held_out").join(labels, "doc_id").select("toxic", "predicted").collect()
+    toxic = [r.predicted for r in got if r.toxic == 1]
+    assert len(toxic) == 97 and sum(toxic) >= 83
+    assert sum(r.predicted for r in got if r.toxic == 0) <= 2
+
+
+@pytest.mark.skipif(not os.path.exists(SF), reason="no test data")
+def test_labels_are_noisy():
+    """Toxic English texts hold one of ten words; a part of those labelled so holds none."""
+    words = "trash|pathetic|idiot|disgusting|worthless|stupid|clown|loser|scum|moron"
+    n, none = duckdb.sql(f"SELECT count(*), count(*) FILTER (NOT regexp_matches(lower(coalesce(text, '')), '{words}')) FROM '{SF}/documents.parquet' JOIN '{SF}/labels.parquet' USING (doc_id) WHERE toxic = 1 AND lang = 'en'").fetchall()[0]
+    assert 0.05 < none / n < 0.08
