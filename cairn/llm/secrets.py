@@ -24,13 +24,22 @@ KINDS = ("assign", "access", "hex", "random")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
-#: Runs with a digit, of 8 characters or more, that may be or hold random strings; they start where no run goes on.
-RUN = re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])[A-Za-z0-9+/_=-]{8,}")
+#: Runs with a digit or a capital after a small letter, of 8 characters or more, that may be or hold random
+#: strings; they start where no run goes on.
+RUN = re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*(?:[0-9]|[a-z][A-Z]))[A-Za-z0-9+/_=-]{8,}")
+#: Letters of one case, which words are made of too, from this length on.
+WORD = re.compile(r"(?<!\w)(?=[A-Za-z]{20})(?:[A-Z]?[a-z]+|[A-Z]+)(?!\w)")
+#: Runs with marks between letters and digits, as passwords have them; not addresses.
+MARKED = re.compile(r"(?<![^\s\"'`<>()\[\]{},;:])(?=\S*[0-9])(?=\S*[A-Za-z])[A-Za-z0-9!@#$%^&*+/_=?~-]{12,}")
+MARKS = re.compile(r"[A-Za-z0-9][!@#$%^&*?~]+(?=[A-Za-z0-9])")
+#: Strings of several parts, as signed tokens are.
+DOTTED = re.compile(r"(?<![A-Za-z0-9_.-])(?=[A-Za-z_.-]*[0-9])[A-Za-z0-9_-]{8,}(?:\.[A-Za-z0-9_-]{8,})+(?![A-Za-z0-9_.-])")
+ADDRESS = re.compile(r"[A-Za-z0-9+/_=-]+@[A-Za-z0-9-]+")
 PART = re.compile(r"[A-Za-z0-9]{8,}")
-#: Strings with separators count as one from this length on.
-LONG = 20
+#: Strings with separators count as one from this length on; those of letters of both cases from CASED on.
+LONG, CASED = 20, 12
 SEPARATORS = "+/_=-"
-DIGIT, UPPER, LOWER = re.compile(r"[0-9]"), re.compile(r"[A-Z]"), re.compile(r"[a-z]")
+DIGIT, LETTER, MIXED = re.compile(r"[0-9]"), re.compile(r"[A-Za-z]"), re.compile(r"[a-z][+/_=-]*[A-Z]")
 #: Lengths of hexadecimal digests: MD5, SHA-1, SHA-224, SHA-256, SHA-384, SHA-512.
 DIGEST_LENGTHS = {32, 40, 56, 64, 96, 128}
 HEX_ONLY = re.compile(r"[0-9a-f]+|[0-9A-F]+")
@@ -42,6 +51,8 @@ SERIAL = re.compile(r"(?:[A-Za-z]?[a-z]+|[A-Z]+)[0-9]+|[0-9]+(?:[A-Za-z]?[a-z]+|
 NAME = re.compile(r"(?:[A-Za-z]?[a-z]+|[A-Z]+|[0-9]+)(?:[-_/=+](?:[A-Za-z]?[a-z]+|[A-Z]+|[0-9]+))*")
 #: Characters per token: below this a run counts as random. Base64 of random bytes lies near 1.5, prose above 2.5.
 RATIO = 2.0
+#: The same for runs with marks or dots, which are tokens of their own.
+MARKED_RATIO = 1.7
 
 _encodings: dict[str, object] = {}
 
@@ -64,7 +75,9 @@ def is_identifier(s: str) -> bool:
 
 
 def _suspect(s: str) -> bool:
-    return bool(DIGIT.search(s) and (UPPER.search(s) or LOWER.search(s))) and not is_identifier(s)
+    """Letters with digits, or letters of both cases; no identifier."""
+    mixed = LETTER.search(s) if DIGIT.search(s) else len(s) >= CASED and MIXED.search(s)
+    return bool(mixed) and not is_identifier(s)
 
 
 def _low_spans(s: str, enc, ratio: float) -> list[tuple[int, int]]:
@@ -131,6 +144,11 @@ def _inner_runs(s: str, enc, ratio: float) -> list[tuple[int, int]]:
 
 
 def random_runs(text: str, enc, ratio: float = RATIO) -> list[tuple[int, int]]:
+    """Spans of random strings; those that a dot or nothing parts are one.
+
+    Not told from other text by their tokens, and so not found: letters of one case below ``LONG``,
+    letters of both cases below ``CASED``, digits alone, and strings below 8 characters.
+    """
     out = []
     for m in RUN.finditer(text):
         s = m.group()
@@ -140,7 +158,23 @@ def random_runs(text: str, enc, ratio: float = RATIO) -> list[tuple[int, int]]:
             out.append(m.span())
         else:
             out += [(m.start() + a, m.start() + b) for a, b in _inner_runs(s, enc, ratio)]
-    return out
+    for m in WORD.finditer(text):
+        if len(m.group()) < ratio * len(enc.encode_ordinary(m.group())):
+            out.append(m.span())
+    for m in MARKED.finditer(text):
+        s = m.group().rstrip("!@#$%^&*?~")
+        if len(s) >= CASED and len(MARKS.findall(s)) > 0 and not ADDRESS.fullmatch(s) and len(s) < MARKED_RATIO * len(enc.encode_ordinary(s)):
+            out.append((m.start(), m.start() + len(s)))
+    for m in DOTTED.finditer(text):
+        if LETTER.search(m.group()) and len(m.group()) < MARKED_RATIO * len(enc.encode_ordinary(m.group())):
+            out.append(m.span())
+    merged: list[tuple[int, int]] = []
+    for a, b in sorted(out):
+        if merged and (a <= merged[-1][1] or text[merged[-1][1] : a] == "."):
+            merged[-1] = (merged[-1][0], max(b, merged[-1][1]))
+        else:
+            merged.append((a, b))
+    return merged
 
 
 def find_secrets(text: str, enc, ratio: float = RATIO) -> list[tuple[int, int, int]]:

@@ -1,8 +1,10 @@
+import os
 import random
 import re
 import string
 from hashlib import sha256
 
+import duckdb
 import pytest
 
 from cairn.llm import secrets as sc
@@ -64,6 +66,43 @@ def test_identifiers_behind_words_do_not(text):
     assert not [x for x in sc.find_secrets(text, ENC) if x[1] == 3]
 
 
+_ALNUM = string.ascii_letters + string.digits
+CLASSES = {
+    "letters of both cases": (string.ascii_letters, 16, 0.95), "small letters": (string.ascii_lowercase, 32, 0.9), "capitals": (string.ascii_uppercase, 24, 0.95), "12 alphanumerics": (_ALNUM, 12, 0.95), "10 alphanumerics": (_ALNUM, 10, 0.8),
+    "24 alphanumerics": (_ALNUM, 24, 0.95), "base64": (_ALNUM + "+/", 24, 0.95), "small letters and digits": (string.ascii_lowercase + string.digits, 16, 0.9), "short digests": ("0123456789abcdef", 30, 0.9), "with marks": (_ALNUM + "!@#$%^&*", 16, 0.9),
+}
+
+
+@pytest.mark.parametrize("name", CLASSES)
+def test_recall_by_class(name):
+    """Random strings of which most of the text is found."""
+    letters, size, least = CLASSES[name]
+    rng = random.Random(name)
+    found = 0
+    for _ in range(400):
+        key = "".join(rng.choices(letters, k=size))
+        spans = [(a, b) for a, k, b in sc.find_secrets(f"the key {key} is set.", ENC) if k == 3]
+        found += sum(min(b, 8 + size) - max(a, 8) for a, b in spans if b > 8 and a < 8 + size) >= 0.8 * size
+    assert found >= least * 400
+
+
+def test_dotted_tokens():
+    rng = random.Random(5)
+    found = 0
+    for _ in range(200):
+        key = ".".join("".join(rng.choices(_ALNUM + "-_", k=18)) for _ in range(3))
+        found += any(a <= 10 and b >= 6 + len(key) for a, k, b in sc.find_secrets(f"bearer {key} ok", ENC) if k == 3)
+    assert found >= 190
+
+
+@pytest.mark.skipif(not os.path.exists("/root/testdata/sf0.1"), reason="no test data")
+def test_precision_on_prose():
+    """Documents without a planted secret; numbers, mail addresses, junk and made-up words are left alone."""
+    rows = duckdb.sql("SELECT text FROM '/root/testdata/sf0.1/documents.parquet' WHERE text IS NOT NULL").fetchall()
+    found = [t[a:b] for (t,) in rows for a, k, b in sc.find_secrets(t, ENC) if k == 3]
+    assert len(found) <= 2
+
+
 def test_redaction_merges_overlaps():
     assert sc.redact("abcdefgh", [(1, 0, 4), (2, 2, 5), (7, 3, 8)], "#") == "a#fg#"
 
