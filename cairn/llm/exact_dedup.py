@@ -1,25 +1,30 @@
-"""Exact deduplication by a log-structured index of text digests (DataFrame operations only).
-
-Texts are fingerprinted in one scan. Fingerprints go to memtables, and each memtable is flushed as
-a run sorted by digest, with a bitmap filter. Compaction merges the runs of equal digest, keeping
-the group's count and the identifier that survives. A digest met twice is only a *hit*: the rows
-whose fingerprint passes the hit filter are read again and their whole texts compared, byte by
-byte, as grouping keys. Copies collapse before the exchange, so a text that holds a third of all
-rows moves once per task.
+"""Exact deduplication by a log-structured merge index of text digests (DataFrame operations only).
+
+Texts are fingerprinted in one scan. Fingerprints fill memtables, and each memtable is flushed as a
+run: a table bucketed and sorted by digest, with a bitmap filter of its digests. All runs have the
+same buckets, so compaction merges two runs bucket by bucket, in order and without an exchange, and
+keeps each digest's count and the identifier that survives. A lookup passes the runs' filters
+before it reads a run.
+
+A digest met twice is only a *hit*: the rows that pass the hits' filter are read again and their
+whole texts compared, byte by byte, as grouping keys. Copies collapse before each exchange, so a
+text that holds a third of all rows moves once per task.
 """
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_rows, stash, text_hash
+from .common import drop_rows, scratch_path, stash, text_hash
 
 #: Bits that one bitmap of the bitmap functions has.
 BITMAP_BITS = 32768
 KEYS = ("digest", "mark", "size")
+COLUMNS = (*KEYS, "n", "keep")
 
 
 def _text(col: Column) -> Column:
@@ -62,8 +67,12 @@ def _bit_set(byte: Column, bit: Column) -> Column:
     return F.call_function("getbit", byte.cast("long"), (bit % 8).cast("int")) == 1
 
 
-#: A filter never exceeds 8 MB; past that it lets more rows through, and stays right.
-MAX_FILTER_BITS = 1 << 26
+#: A filter never exceeds 64 MB, which 32 million keys fill; past that it lets more rows through, and stays right.
+MAX_FILTER_BITS = 1 << 29
+#: Rows of a memtable, at least, and how many memtables there are at most: beyond their product they grow.
+MEMTABLE_ROWS, MAX_MEMTABLES = 100_000, 8
+#: Rows of a bucket, about.
+BUCKET_ROWS, MAX_BUCKETS = 1_000_000, 20_000
 
 
 def filter_bits(n: int) -> int:
@@ -72,51 +81,87 @@ def filter_bits(n: int) -> int:
 
 
 @dataclass
-class DigestIndex:
-    """Sorted runs, and what compaction made of them."""
-
-    runs: DataFrame  # run, digest, mark, size, n, keep
-    base: DataFrame  # digest, mark, size, n, keep
-
-    @staticmethod
-    def flush(entries: DataFrame, keep: str, memtables: int) -> DataFrame:
-        """Deal entries over memtables and write each as a run sorted by digest."""
-        pick = F.max if keep == "max" else F.min
-        runs = (
-            entries.withColumn("run", F.pmod(F.xxhash64("id"), F.lit(memtables)).cast("int"))
-            .groupBy(*KEYS, "run")
-            .agg(F.count(F.lit(1)).alias("n"), pick("id").alias("keep"))
-            .select(*KEYS, "n", "keep", "run")
-            .sortWithinPartitions("run", "digest")
-        )
-        return stash(runs, "runs", partition_by="run")
-
-    @classmethod
-    def build(cls, entries: DataFrame, keep: str = "min", memtables: int = 4) -> "DigestIndex":
-        runs = cls.flush(entries, keep, memtables)
-        return cls(runs, cls.compact(runs, keep))
-
-    @staticmethod
-    def compact(runs: DataFrame, keep: str) -> DataFrame:
-        """Merge all runs into one sorted run."""
-        pick = F.max if keep == "max" else F.min
-        merged = runs.groupBy(*KEYS).agg(F.sum("n").alias("n"), pick("keep").alias("keep"))
-        return stash(merged.sortWithinPartitions("digest"), "base")
-
-    def add(self, entries: DataFrame, keep: str = "min", memtables: int = 1) -> "DigestIndex":
-        """Flush a further batch as new runs and compact them with the present base."""
-        new = self.flush(entries, keep, memtables)
-        both = self.base.unionByName(new.select(*self.base.columns))
-        return DigestIndex(new, self.compact(both, keep))
+class Run:
+    """A table (digest, mark, size, n, keep) bucketed and sorted by digest, and its filter."""
 
-    def lookup(self, entries: DataFrame) -> DataFrame:
-        """Entries found in the index, with the identifier kept there; absent ones stop at the filter."""
-        bits = filter_bits(self.base.count())
-        passed = through_filter(entries, build_filter(self.base, bits), bits)
-        return passed.join(self.base.select(*KEYS, F.col("keep")), list(KEYS))
+    rows: DataFrame
+    n_rows: int
+    bits: int
+    bitmaps: DataFrame
 
 
-def exact_dedup(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", keep: str = "min", memtables: int = 4) -> DataFrame:
+@dataclass
+class DigestIndex:
+    """Runs of one bucketing, oldest first. ``keep`` is "min" or "max"."""
+
+    buckets: int
+    keep: str = "min"
+    runs: tuple[Run, ...] = ()
+
+    def _written(self, rows: DataFrame) -> Run:
+        """Write rows that are dealt by buckets as a run, with its filter."""
+        spark = rows.sparkSession
+        name = f"cairn_run_{uuid.uuid4().hex}"
+        rows.select(*COLUMNS).write.bucketBy(self.buckets, "digest").sortBy("digest").option("path", scratch_path(spark, "run")).format("parquet").saveAsTable(name)
+        table = spark.table(name)
+        n = table.count()
+        bits = filter_bits(n)
+        return Run(table, n, bits, stash(build_filter(table, bits), "filter"))
+
+    def flush(self, entries: DataFrame) -> "DigestIndex":
+        """The index with a memtable of entries (id, digest, mark, size) as a further run."""
+        pick = F.max if self.keep == "max" else F.min
+        # copies collapse here, before their digest decides on a bucket
+        folded = entries.groupBy("digest").agg(F.first("mark").alias("mark"), F.first("size").alias("size"), F.count(F.lit(1)).alias("n"), pick("id").alias("keep"))
+        return DigestIndex(self.buckets, self.keep, (*self.runs, self._written(folded.repartition(self.buckets, "digest"))))
+
+    def compact(self) -> "DigestIndex":
+        """The index with all runs merged into one; neighbours are merged first."""
+        runs = list(self.runs)
+        while len(runs) > 1:
+            runs = [self._merge(*runs[k : k + 2]) if k + 1 < len(runs) else runs[k] for k in range(0, len(runs), 2)]
+        return DigestIndex(self.buckets, self.keep, tuple(runs))
+
+    def _merge(self, old: Run, new: Run) -> Run:
+        a, b = (r.rows.select("digest", *(F.col(c).alias(f"{c}_{k}") for c in COLUMNS[1:])) for k, r in enumerate((old, new)))
+        both = a.hint("merge").join(b, "digest", "full")
+        pick = F.greatest if self.keep == "max" else F.least
+        return self._written(
+            both.select(
+                "digest", F.coalesce("mark_0", "mark_1").alias("mark"), F.coalesce("size_0", "size_1").alias("size"),
+                (F.coalesce("n_0", F.lit(0)) + F.coalesce("n_1", F.lit(0))).alias("n"), pick("keep_0", "keep_1").alias("keep"),
+            )
+        )
+
+    def lookup(self, entries: DataFrame) -> DataFrame:
+        """Entries found in the index, with the identifier kept there; absent ones stop at the filters."""
+        pick = F.max if self.keep == "max" else F.min
+        found = [through_filter(entries, r.bitmaps, r.bits).join(r.rows.select("digest", "keep"), "digest") for r in self.runs]
+        if not found:
+            return entries.limit(0).withColumn("keep", F.col("id"))
+        every = found[0]
+        for part in found[1:]:
+            every = every.unionByName(part)
+        return every.groupBy("id", *KEYS).agg(pick("keep").alias("keep"))
+
+    @property
+    def base(self) -> DataFrame:
+        """The rows of the only run."""
+        (run,) = self.runs
+        return run.rows
+
+
+def build_index(entries: DataFrame, keep: str = "min", memtable_rows: int = MEMTABLE_ROWS) -> DigestIndex:
+    """Deal stashed entries over memtables, flush each as a run and compact the runs."""
+    total = entries.count()
+    memtables = max(1, min(MAX_MEMTABLES, -(-total // memtable_rows)))
+    index = DigestIndex(max(1, min(MAX_BUCKETS, total // BUCKET_ROWS + entries.sparkSession.sparkContext.defaultParallelism)), keep)
+    for k in range(memtables):
+        index = index.flush(entries.where(F.pmod(F.xxhash64("id", "digest"), F.lit(memtables)) == k))
+    return index.compact()
+
+
+def exact_dedup(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", keep: str = "min", memtable_rows: int = MEMTABLE_ROWS) -> DataFrame:
     """One row per row of ``docs``: id, ``keep_id``, ``group_size``, ``kept``, ``text_sha256`` and
     ``text_hash`` (see ``common.text_hash``).
 
@@ -128,7 +173,7 @@ def exact_dedup(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
     of one SHA-256 digest stop the job with an error instead of merging.
     """
     entries = stash(fingerprints(docs, text_col, id_col), "fingerprints")
-    index = DigestIndex.build(entries, keep, memtables)
+    index = build_index(entries, keep, memtable_rows)
     hits = index.base.where("n > 1")
     n_hits = hits.count()
     bits = filter_bits(n_hits)
