@@ -34,8 +34,8 @@ def tokens(text: Column) -> Column:
 
 
 def query_terms(text: Column) -> Column:
-    """Distinct lower-case terms of a query, in order of first occurrence."""
-    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0)))
+    """Distinct tokens of a query, in order of first occurrence; queries are folded as documents are."""
+    return F.array_distinct(tokens(text))
 
 
 def match_expression(text: Column, mode: str = "or") -> Column:
@@ -51,6 +51,7 @@ def first_words(text: Column, n: int = 50) -> Column:
     return F.array_join(F.slice(F.split(F.trim(F.regexp_replace(text, r"\s+", " ")), " "), 1, n), " ")
 
 
+# Fixed value: what the encoders' callers put before a query.
 PREFIX = r"(?i)^\s*(search(\s+engine)?(\s+query)?|query)\s*[:\-]?\s*"
 QUOTES = "\"“”'` "
 

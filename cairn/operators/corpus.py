@@ -6,11 +6,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .lexical import hint
+
 MASK = (1 << 64) - 1
+#: Ids that one window spans.
+SPAN = 4096
 
 
 class SplitMix64:
-    """The generator of that name."""
+    """The generator of that name; its multipliers are fixed values."""
 
     def __init__(self, seed: int):
         self.state = seed & MASK
@@ -35,6 +39,19 @@ def det_shuffle(items: list, seed: int) -> list:
     return own
 
 
+def word_positions(toks: DataFrame) -> DataFrame:
+    """(pos, word) of all documents (doc_id, tokens, dl), one after another in order of ids.
+
+    Lengths are added up within spans of ids, and then over one row a span.
+    """
+    spans = toks.withColumn("span", F.floor(F.col("doc_id") / SPAN))
+    earlier = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    starts = spans.groupBy("span").agg(F.sum("dl").alias("n")).withColumn("start", F.coalesce(F.sum("n").over(earlier(Window.orderBy("span"))), F.lit(0))).drop("n")
+    within = F.coalesce(F.sum("dl").over(earlier(Window.partitionBy("span").orderBy("doc_id"))), F.lit(0))
+    placed = spans.withColumn("before", within).join(starts, "span")
+    return placed.select((F.col("start") + F.col("before")).alias("at"), F.posexplode("tokens").alias("k", "word")).select((F.col("at") + F.col("k")).alias("pos"), "word")
+
+
 def word_windows(words: DataFrame, size: int = 50) -> DataFrame:
     """(doc_id, text): document i has the words at [size i, size i + size) of (pos, word)."""
     rows = words.withColumn("doc_id", F.floor(F.col("pos") / size))
@@ -60,12 +77,20 @@ def documents_with_all(toks: DataFrame, queries: DataFrame) -> DataFrame:
     """(qid, doc_id) of documents with every term of (qid, terms): matches are counted per document."""
     asked = queries.select("qid", F.explode("terms").alias("term"), F.size("terms").alias("n_terms"))
     spread = toks.select("doc_id", F.explode(F.array_distinct("tokens")).alias("term"))
-    return spread.join(F.broadcast(asked), "term").groupBy("qid", "doc_id", "n_terms").agg(F.count(F.lit(1)).alias("n")).where("n = n_terms").select("qid", "doc_id")
+    return spread.join(hint(asked), "term").groupBy("qid", "doc_id", "n_terms").agg(F.count(F.lit(1)).alias("n")).where("n = n_terms").select("qid", "doc_id")
 
 
 def interleave(rows: DataFrame, kind: str, order: str) -> DataFrame:
-    """Round-robin over kinds: rows get ``slot``, their place within their kind."""
-    return rows.withColumn("slot", F.row_number().over(Window.partitionBy(kind).orderBy(order)))
+    """Round-robin over kinds: rows get ``slot``, their place within their kind by a numeric ``order``.
+
+    Rows are numbered within spans of the order, and spans are added up, so a kind of any size is
+    dealt over tasks.
+    """
+    spans = rows.withColumn("_span", F.floor(F.col(order) / SPAN))
+    starts = spans.groupBy(kind, "_span").agg(F.count(F.lit(1)).alias("_n"))
+    starts = starts.withColumn("_start", F.coalesce(F.sum("_n").over(Window.partitionBy(kind).orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
+    numbered = spans.withColumn("_row", F.row_number().over(Window.partitionBy(kind, "_span").orderBy(order)))
+    return numbered.join(starts, [kind, "_span"]).withColumn("slot", F.col("_start") + F.col("_row")).drop("_span", "_start", "_row")
 
 
 def sample_per_kind(rows: DataFrame, kind: str, key: str, n: int, seed: str) -> DataFrame:

@@ -6,19 +6,23 @@ each task keeps its own best k of every query, so k rows a query and task are ex
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.vectors import METRICS
+from ..sources.scratch import stash
 
 MAX_K = 100_000
 #: Bytes of query vectors that one job broadcasts; a larger batch is searched in parts.
-MAX_QUERY_BYTES = 64 << 20
+MAX_QUERY_BYTES = 16 << 20
+#: Bytes of distances that a task computes at once.
+TILE_BYTES = 64 << 20
 
 
 def resolve_k(k: int | None = None, limit: int | None = None) -> int:
@@ -40,19 +44,42 @@ def matrix(column: pa.Array, dim: int | None = None) -> np.ndarray:
     return flat.reshape(len(column), dim)
 
 
-def collect_queries(queries: DataFrame, id_col: str, vec_col: str) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Query ids and vectors in parts of at most ``MAX_QUERY_BYTES``."""
-    parts, ids, vectors, size = [], [], [], 0
+def collect_queries(queries: DataFrame, id_col: str, vec_col: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Query ids and vectors in parts of at most ``MAX_QUERY_BYTES``, one at a time."""
+    ids: list[int] = []
+    vectors: list[list[float]] = []
+    size = 0
     for r in queries.select(id_col, vec_col).toLocalIterator():
         ids.append(r[0])
         vectors.append(r[1])
         size += 8 * len(r[1])
         if size >= MAX_QUERY_BYTES:
-            parts.append((np.array(ids, np.int64), np.array(vectors, np.float64)))
+            yield np.array(ids, np.int64), np.array(vectors, np.float64)
             ids, vectors, size = [], [], 0
     if ids:
-        parts.append((np.array(ids, np.int64), np.array(vectors, np.float64)))
-    return parts
+        yield np.array(ids, np.int64), np.array(vectors, np.float64)
+
+
+def in_parts(queries: DataFrame, id_col: str, vec_col: str, search: Callable[[Broadcast], DataFrame]) -> DataFrame:
+    """What ``search`` gives for the queries, which it gets broadcast in parts of bounded size.
+
+    One part stays a plan. Of several, each result is written before the next part is fetched, so
+    neither the driver nor the executors hold two parts.
+    """
+    spark = queries.sparkSession
+    parts = collect_queries(queries, id_col, vec_col)
+    first = next(parts, (np.zeros(0, np.int64), np.zeros((0, 1))))
+    following = next(parts, None)
+    shared = spark.sparkContext.broadcast(first)
+    if following is None:
+        return search(shared)
+    out = None
+    while shared is not None:
+        done = stash(search(shared), "part")
+        shared.destroy()
+        out = done if out is None else out.unionByName(done)
+        shared, following = (spark.sparkContext.broadcast(following), next(parts, None)) if following is not None else (None, None)
+    return out
 
 
 def distances(q: np.ndarray, x: np.ndarray, metric: str) -> np.ndarray:
@@ -70,31 +97,34 @@ def exact_search(base: DataFrame, queries: DataFrame, k: int = 10, metric: str =
     if metric not in METRICS:
         raise ValueError(f"unknown metric {metric}")
     k = resolve_k(k, limit)
-    spark = base.sparkSession
-    out = spark.createDataFrame([], "qid long, id long, distance double")
-
-    for ids, vectors in collect_queries(queries, id_col, vec_col) if k else ():
-        shared = spark.sparkContext.broadcast((ids, vectors))
+    source = base.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("v"))
+    schema = "qid long, id long, distance double"
+    if not k:
+        return base.sparkSession.createDataFrame([], "qid long, rank int, id long, distance double")
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+    def search(shared: Broadcast) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             qids, q = shared.value
             best_d = np.full((len(qids), 0), np.inf)
             best_i = np.zeros((len(qids), 0), np.int64)
-            for batch in batches:
-                own = batch.column(0).to_numpy(zero_copy_only=False)
-                d = np.round(distances(q, matrix(batch.column(1), q.shape[1]), metric), digits) + 0.0
-                if not include_self:
-                    d[qids[:, None] == own[None]] = np.inf
-                d = np.hstack([best_d, d])
-                i = np.hstack([best_i, np.broadcast_to(own, (len(qids), len(own)))])
-                order = np.lexsort((i, d), axis=1)[:, :k]
-                best_d, best_i = np.take_along_axis(d, order, 1), np.take_along_axis(i, order, 1)
+            step = max(1, TILE_BYTES // (8 * max(1, len(qids))))
+            for batch in batches if len(qids) else ():
+                for at in range(0, batch.num_rows, step):
+                    part = batch.slice(at, step)
+                    own = part.column(0).to_numpy(zero_copy_only=False)
+                    d = np.round(distances(q, matrix(part.column(1), q.shape[1]), metric), digits) + 0.0
+                    if not include_self:
+                        d[qids[:, None] == own[None]] = np.inf
+                    d = np.hstack([best_d, d])
+                    i = np.hstack([best_i, np.broadcast_to(own, (len(qids), len(own)))])
+                    order = np.lexsort((i, d), axis=1)[:, :k]
+                    best_d, best_i = np.take_along_axis(d, order, 1), np.take_along_axis(i, order, 1)
             row, column = np.nonzero(np.isfinite(best_d))
             yield pa.RecordBatch.from_arrays([pa.array(qids[row]), pa.array(best_i[row, column]), pa.array(best_d[row, column])], ["qid", "id", "distance"])
 
-        source = base.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("v"))
-        out = out.unionByName(source.mapInArrow(run, "qid long, id long, distance double"))
-    return top_k(out, max(k, 1), [F.col("distance"), F.col("id")]).select("qid", "rank", "id", "distance")
+        return top_k(source.mapInArrow(run, schema), k, [F.col("distance"), F.col("id")]).select("qid", "rank", "id", "distance")
+
+    return in_parts(queries, id_col, vec_col, search)
 
 
 def top_k(scored: DataFrame, k: int, by: list[Column]) -> DataFrame:

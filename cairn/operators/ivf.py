@@ -2,21 +2,32 @@
 
 from __future__ import annotations
 
+import io
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.vectors import METRICS
-from .dense import collect_queries, distances, matrix, top_k
+from ..sources.scratch import stash
+from .dense import distances, in_parts, matrix, top_k
 from .lexical import hint
 from .quantize import Codebook, kmeans, sample
 
 
+#: Lists that a filter names one by one.
+MAX_NAMED_LISTS = 1000
+#: Bytes of the distances that are computed at once.
+BLOCK_BYTES = 32 << 20
+#: Rows that k-means runs on at the driver; a larger sample stays in its table.
+DRIVER_ROWS = 65_536
+
+
 def list_count(n: int, given: int = 0) -> int:
     """Lists for n vectors: 4 sqrt(n) unless given, n at most."""
     return max(1, min(n, given or int(4 * np.sqrt(n))))
@@ -24,10 +35,20 @@ def list_count(n: int, given: int = 0) -> int:
 
 def nearest(centroids: np.ndarray, x: np.ndarray) -> np.ndarray:
     """The list of each vector: the smallest squared distance, the lowest number on ties."""
-    d = np.empty((len(x), len(centroids)))
-    for at in range(0, len(x), 256):
-        d[at : at + 256] = ((x[at : at + 256, None, :] - centroids[None]) ** 2).sum(2)
-    return d.argmin(1)
+    out = np.empty(len(x), np.int64)
+    size = (centroids**2).sum(1)
+    step = max(1, BLOCK_BYTES // (8 * max(1, len(centroids))))
+    for at in range(0, len(x), step):
+        part = x[at : at + step]
+        d = size[None] - 2 * part @ centroids.T
+        least = d.min(1)
+        out[at : at + step] = d.argmin(1)
+        # what the product can't tell apart is told by plain differences
+        close = d <= (least + 1e-9 * (1 + (part**2).sum(1)))[:, None]
+        for n in np.flatnonzero(close.sum(1) > 1):
+            own = np.flatnonzero(close[n])
+            out[at + n] = own[((part[n] - centroids[own]) ** 2).sum(1).argmin()]
+    return out
 
 
 def assign(df: DataFrame, centroids: np.ndarray, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
@@ -42,6 +63,19 @@ def assign(df: DataFrame, centroids: np.ndarray, id_col: str = "vec_id", vec_col
     return df.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("v")).mapInArrow(run, "id long, list_id long").withColumnRenamed("id", id_col)
 
 
+def residuals(df: DataFrame, centroids: np.ndarray, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+    """(id, vector less the centroid of its list), which a codebook of residuals is trained on."""
+    shared = df.sparkSession.sparkContext.broadcast(centroids)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = matrix(batch.column(1), shared.value.shape[1])
+            rest = x - shared.value[nearest(shared.value, x)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(rest.ravel()))], [id_col, vec_col])
+
+    return df.select(F.col(id_col).cast("long").alias(id_col), vec_col).mapInArrow(run, f"`{id_col}` long, `{vec_col}` array<double>")
+
+
 def lloyd(df: DataFrame, start: np.ndarray, iterations: int, id_col: str = "vec_id", vec_col: str = "embedding") -> np.ndarray:
     """Lloyd steps over all rows; each task sends sums of k x dim, an empty list keeps its centroid."""
     c = start.astype(np.float64)
@@ -63,15 +97,26 @@ def lloyd(df: DataFrame, start: np.ndarray, iterations: int, id_col: str = "vec_
         parts = df.select(F.col(vec_col).alias("v")).mapInArrow(run, "list_id long, n long, sums array<double>")
         spread = parts.select("list_id", "n", F.posexplode("sums").alias("d", "x")).groupBy("list_id", "d").agg(F.sum("x").alias("x"), F.sum("n").alias("n"))
         c = c.copy()
-        for r in spread.collect():  # k x dim rows
-            c[r["list_id"], r["d"]] = r["x"] / r["n"]
+        lists = spread.groupBy("list_id").agg(F.max("n").alias("n"), F.array_sort(F.collect_list(F.struct("d", "x"))).alias("s"))
+        got = lists.select("list_id", "n", F.transform("s", lambda p: p["x"]).alias("s")).toArrow()  # a row a list
+        if got.num_rows:
+            c[got["list_id"].to_numpy()] = matrix(got["s"].combine_chunks(), c.shape[1]) / got["n"].to_numpy()[:, None]
     return c
 
 
 def train_centroids(df: DataFrame, nlist: int, iterations: int = 10, id_col: str = "vec_id", vec_col: str = "embedding", seed: int = 42) -> np.ndarray:
-    """k-means on a deterministic sample of max(65,536, 40 nlist) rows."""
-    rows = sample(df.select(id_col, vec_col), id_col, max(65_536, 40 * nlist), seed).select(vec_col).collect()
-    return kmeans(np.array([r[0] for r in rows], np.float64), nlist, iterations, seed)
+    """k-means on a deterministic sample of max(65,536, 40 nlist) rows.
+
+    A sample of up to ``DRIVER_ROWS`` is clustered at the driver. A larger one stays a table: the
+    driver holds centroids and their sums only.
+    """
+    size = max(65_536, 40 * nlist)
+    taken = sample(df.select(id_col, vec_col), id_col, size, seed)
+    if size <= DRIVER_ROWS:
+        return kmeans(np.array([r[0] for r in taken.select(vec_col).collect()], np.float64), nlist, iterations, seed)
+    start = np.array([r[0] for r in sample(df.select(id_col, vec_col), id_col, nlist, seed).select(vec_col).collect()], np.float64)
+    # the sample is read at every step
+    return lloyd(stash(taken, "sample"), start, iterations, id_col, vec_col)
 
 
 @dataclass
@@ -86,6 +131,31 @@ class IvfIndex:
     options: dict = field(default_factory=dict)
 
 
+def save(index: IvfIndex, path: str) -> IvfIndex:
+    """Write the rows sorted by list and the rest as one row; returns the index that reads them.
+
+    Files and row groups hold neighbouring lists, so a filter on lists skips the others.
+    """
+    spark = index.rows.sparkSession
+    index.rows.repartitionByRange("list_id", "id").sortWithinPartitions("list_id", "id").write.mode("overwrite").option("parquet.block.size", 8 << 20).parquet(f"{path}/rows")
+    out = io.BytesIO()
+    np.save(out, index.centroids)
+    head = (index.metric, index.residual, bytearray(out.getvalue()), bytearray(index.book.to_bytes()))
+    spark.createDataFrame([head], "metric string, residual boolean, centroids binary, book binary").coalesce(1).write.mode("overwrite").parquet(f"{path}/head")
+    return load(spark, path)
+
+
+def load(spark: SparkSession, path: str) -> IvfIndex:
+    head = spark.read.parquet(f"{path}/head").first()
+    return IvfIndex(spark.read.parquet(f"{path}/rows"), np.load(io.BytesIO(bytes(head["centroids"]))), Codebook.from_bytes(bytes(head["book"])), head["metric"], head["residual"])
+
+
+def insert(index: IvfIndex, df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding") -> IvfIndex:
+    """The index with further rows, in their nearest lists and coded with the codebook as it is."""
+    more = build(df, index.centroids, index.book, index.metric, index.residual, id_col, vec_col)
+    return IvfIndex(index.rows.unionByName(more.rows), index.centroids, index.book, index.metric, index.residual)
+
+
 def build(df: DataFrame, centroids: np.ndarray, book: Codebook, metric: str = "cosine", residual: bool = True, id_col: str = "vec_id", vec_col: str = "embedding") -> IvfIndex:
     """Assign, code residuals (or the vectors themselves) and lay rows out by list."""
     if metric not in METRICS:
@@ -116,18 +186,19 @@ def search(index: IvfIndex, queries: DataFrame, k: int = 10, nprobe: int = 32, r
     c, book, metric, residual = index.centroids, index.book, index.metric, index.residual
     nprobe = max(1, min(nprobe, len(c)))
     keep = max(rerank_k, k) if rerank else k
-    spark = index.rows.sparkSession
-    out = spark.createDataFrame([], "qid long, id long, distance double")
-    for qids, q in collect_queries(queries, id_col, vec_col):
-        near = distances(q, c, "l2")
-        probes = np.argsort(np.round(near, 12), axis=1, kind="stable")[:, :nprobe]
-        tables = book.tables(q, metric if metric == "l2" and not residual else "ip")
-        shared = spark.sparkContext.broadcast((qids, q, probes, tables))
+    order = [F.col("distance"), F.col("id")]
+    every: set[int] = set()
+
+    def candidates(shared: Broadcast) -> DataFrame:
+        qids, q = shared.value
+        probes = np.argsort(np.round(distances(q, c, "l2"), 12), axis=1, kind="stable")[:, :nprobe] if len(q) else np.zeros((0, nprobe), np.int64)
         lists = sorted(set(probes.ravel().tolist()))
-        rows = index.rows.where(F.col("list_id").isin(lists)) if len(lists) <= 1000 else index.rows
+        every.update(lists)
+        rows = index.rows.where(F.col("list_id").isin(lists)) if len(lists) <= MAX_NAMED_LISTS else index.rows
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            qids, q, probes, tables = shared.value
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            qids, q = shared.value
+            tables = book.tables(q, metric if metric == "l2" and not residual else "ip") if len(q) else None
             asked: dict[int, list[int]] = {}
             for n, own in enumerate(probes.tolist()):
                 for x in own:
@@ -158,12 +229,13 @@ def search(index: IvfIndex, queries: DataFrame, k: int = 10, nprobe: int = 32, r
                 ["qid", "id", "distance"],
             )
 
-        out = out.unionByName(rows.select("id", "list_id", "code").mapInArrow(run, "qid long, id long, distance double"))
-    order = [F.col("distance"), F.col("id")]
-    first = top_k(out, keep, order)
+        return top_k(rows.select("id", "list_id", "code").mapInArrow(run, "qid long, id long, distance double"), keep, order).select("qid", "rank", "id", "distance")
+
+    first = in_parts(queries, id_col, vec_col, candidates)
     if not rerank:
-        return first.select("qid", "rank", "id", "distance")
-    return rescore(first.select("qid", "id"), index.rows.select("id", "v"), queries, k, metric, id_col, vec_col, digits)
+        return first
+    probed = index.rows.where(F.col("list_id").isin(sorted(every))) if len(every) <= MAX_NAMED_LISTS else index.rows
+    return rescore(first.select("qid", "id"), probed.select("id", "v"), queries, k, metric, id_col, vec_col, digits)
 
 
 def rescore(candidates: DataFrame, vectors: DataFrame, queries: DataFrame, k: int, metric: str, id_col: str = "vec_id", vec_col: str = "embedding", digits: int = 6) -> DataFrame:

@@ -6,6 +6,7 @@ encoded in Arrow batches. Training takes a deterministic sample of bounded size.
 
 from __future__ import annotations
 
+import io
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -47,6 +48,32 @@ class Codebook:
         """Vectors in rotated space."""
         return np.concatenate([self.centroids[j][codes[:, j]] for j in range(self.m)], axis=1)
 
+    def restored(self, codes: np.ndarray) -> np.ndarray:
+        """Vectors as they were before the rotation."""
+        y = self.decode(codes)
+        return y if self.rotation is None else y @ self.rotation.T
+
+    def rounded(self, form: str = "f16") -> "Codebook":
+        """As it is after being stored: float16, or int8 with a scale a subspace (half away from zero)."""
+        if form == "f16":
+            return Codebook(half_round_trip(self.centroids).astype(np.float64), self.rotation)
+        if form != "int8":
+            raise ValueError(f"unknown codebook storage {form}")
+        scale = np.abs(self.centroids).max((1, 2), keepdims=True) / 127
+        safe = np.where(scale > 0, scale, 1)
+        q = np.sign(self.centroids) * np.floor(np.abs(self.centroids / safe) + 0.5)
+        return Codebook(np.clip(q, -127, 127) * safe, self.rotation)
+
+    def to_bytes(self) -> bytes:
+        out = io.BytesIO()
+        np.savez(out, centroids=self.centroids, **({} if self.rotation is None else {"rotation": self.rotation}))
+        return out.getvalue()
+
+    @classmethod
+    def from_bytes(cls, data: bytes) -> "Codebook":
+        z = np.load(io.BytesIO(data))
+        return cls(z["centroids"], z["rotation"] if "rotation" in z.files else None)
+
     def tables(self, q: np.ndarray, metric: str) -> np.ndarray:
         """[query, subspace, code]: squared distances for l2, else minus products, plus 1 in subspace 0."""
         q = self.turned(q).reshape(len(q), self.m, -1)
@@ -173,6 +200,61 @@ def half_round_trip(x: np.ndarray) -> np.ndarray:
     return x.astype(np.float32).astype(np.float16).astype(np.float32)
 
 
+#: Forms that an index stores vectors in.
+STORED = ("none", "int8", "f16", "f32")
+
+
+def pack_vectors(x: np.ndarray, form: str) -> list[bytes]:
+    """Rows as bytes: float32, float16, or a float32 scale and int8 values (half to even)."""
+    x = np.asarray(x, np.float32)
+    if form == "int8":
+        top = np.abs(x).max(1, initial=0)
+        scale = np.where(top > 0, top / np.float32(127), 1).astype("<f4")
+        q = np.clip(np.rint(x / scale[:, None]), -127, 127).astype(np.int8)
+        return [s.tobytes() + r.tobytes() for s, r in zip(scale, q, strict=True)]
+    if form not in ("f16", "f32"):
+        raise ValueError(f"vectors can't be stored as {form}")
+    return [r.tobytes() for r in x.astype("<f2" if form == "f16" else "<f4")]
+
+
+def unpack_vectors(rows: list[bytes], form: str, dim: int) -> np.ndarray:
+    """float32 rows of what ``pack_vectors`` gave."""
+    flat = b"".join(rows)
+    if form == "int8":
+        whole = np.frombuffer(flat, np.uint8).reshape(len(rows), dim + 4)
+        scale = np.ascontiguousarray(whole[:, :4]).view("<f4")
+        return (np.ascontiguousarray(whole[:, 4:]).view(np.int8) * scale).astype(np.float32)
+    return np.frombuffer(flat, "<f2" if form == "f16" else "<f4").reshape(len(rows), dim).astype(np.float32)
+
+
+def packed(df: DataFrame, vec_col: str, form: str) -> DataFrame:
+    """``df`` with the vectors in their stored form, as bytes; without them for "none"."""
+    if form == "none":
+        return df.drop(vec_col)
+
+    @F.pandas_udf("binary")
+    def pack(v: pd.Series) -> pd.Series:
+        return pd.Series([None if x is None else pack_vectors(np.asarray(x)[None], form)[0] for x in v], dtype=object)
+
+    return df.withColumn(vec_col, pack(F.col(vec_col).cast("array<float>")))
+
+
+def unpacked(df: DataFrame, vec_col: str, form: str, dim: int) -> DataFrame:
+    """``df`` with stored vectors as array<float>."""
+
+    @F.pandas_udf("array<float>")
+    def unpack(v: pd.Series) -> pd.Series:
+        rows = iter(unpack_vectors([x for x in v if x is not None], form, dim))
+        return pd.Series([None if x is None else next(rows) for x in v], dtype=object)
+
+    return df.withColumn(vec_col, unpack(F.col(vec_col)))
+
+
+def centroid_form(n_lists: int, given: str = "auto") -> str:
+    """How coarse centroids are stored: product codes from 1,024 lists on, else int8."""
+    return given if given != "auto" else "pq" if n_lists >= 1024 else "int8"
+
+
 def quantize_centroids(x: np.ndarray, bits: int = 8) -> np.ndarray:
     """Rows through int8 or int4 with a float16 scale (half away from zero)."""
     top = 127 if bits == 8 else 7

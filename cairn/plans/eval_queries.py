@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import corpus, dense, evaluation, ivf, netcost
+from ..sources.scratch import stash
 from . import vector_queries as vq
 
 QUERIES: dict = {}
@@ -185,7 +186,7 @@ def plan_requests(spark, d):
     return got.select("round_id", "n_ranges", F.col("n_requests").cast("long").alias("n_requests"), F.round("ms", 6).alias("ms"))
 
 
-@register("request_counters", f"WITH {READS} SELECT trace_id, count(DISTINCT round) AS rounds, count(*) AS requests, sum(len)::BIGINT AS bytes FROM reads GROUP BY trace_id")
+@register("request_counters", f"WITH {READS} SELECT trace_id, count(DISTINCT round) AS rounds, count(*) AS requests, sum(len)::BIGINT AS bytes, 0::BIGINT AS hits FROM reads GROUP BY trace_id")
 def request_counters(spark, d):
     return netcost.counters(reads(spark, d))
 
@@ -203,20 +204,47 @@ def net_profiles(spark, d):
     return netcost.profiles(spark, ["4g", "4g,h1", "lte,h2,cold", "slow-3g", "lighthouse,cold"])
 
 
-@register("net_simulate")
+def _rounds(r: DataFrame) -> DataFrame:
+    return r.select("trace_id", "round").distinct().withColumn("cpu_ms", F.lit(1.5))
+
+
+@register("net_simulate", f"WITH {READS}, per AS (SELECT trace_id, round, sum(len) AS bytes FROM reads GROUP BY ALL) SELECT trace_id, round(sum(165 + bytes / 1012.5::DOUBLE + 1.5::DOUBLE), 3) AS ms FROM per GROUP BY trace_id")
 def net_simulate(spark, d):
+    """Requests that are issued together and share a fixed link end when all bytes are there."""
+    r = reads(spark, d).drop("t_issue_ms")
+    return netcost.simulate(r, _rounds(r), netcost.profile("4g")).select("trace_id", F.round("ms", 3).alias("ms"))
+
+
+@register("net_simulate_queued", f"WITH {READS}, per AS (SELECT trace_id, round, count(*) AS n, sum(len) AS bytes FROM reads GROUP BY ALL) SELECT trace_id, round(sum(n * 165 + bytes / 1012.5::DOUBLE + 1.5::DOUBLE) + 330, 3) AS ms, 1 AS n_connections FROM per GROUP BY trace_id")
+def net_simulate_queued(spark, d):
+    """One connection, opened once, serves one request after another."""
+    r = reads(spark, d).drop("t_issue_ms")
+    return netcost.simulate(r, _rounds(r), netcost.profile("4g,cold", max_concurrent=1)).select("trace_id", F.round("ms", 3).alias("ms"), "n_connections")
+
+
+@register("net_simulate_shaped")
+def net_simulate_shaped(spark, d):
+    """Drawn latencies, a link that changes, slow start and requests issued in the course of a round."""
     r = reads(spark, d)
-    rounds = r.select("trace_id", "round").distinct().withColumn("cpu_ms", F.lit(1.5))
-    return netcost.simulate(r, rounds, netcost.profile("4g,h1"))
+    return netcost.simulate(r, _rounds(r), netcost.profile("lte-poor,h1,slowstart,cold"))
 
 
-@register("sim_vs_bound")
+@register("sim_vs_bound", f"WITH {READS} SELECT count(DISTINCT trace_id) AS n, true AS above FROM reads")
 def sim_vs_bound(spark, d):
     r = reads(spark, d)
-    rounds = r.select("trace_id", "round").distinct().withColumn("cpu_ms", F.lit(1.5))
-    low = netcost.lower_bound(r, rounds, netcost.profile("4g")).withColumnRenamed("ms", "bound_ms")
-    both = netcost.simulate(r, rounds, netcost.profile("4g")).join(low, "trace_id")
-    return evaluation.distribution(both.withColumn("ratio", F.col("ms") / F.col("bound_ms")), "ratio")
+    simulated = stash(netcost.simulate(r, _rounds(r), netcost.profile("4g,h1,slowstart")), "simulated")
+    low = netcost.lower_bound(r, _rounds(r), netcost.profile("4g")).withColumnRenamed("ms", "bound_ms")
+    both = evaluation.distribution(simulated.join(low, "trace_id").withColumn("ratio", F.col("ms") / F.col("bound_ms")), "ratio")
+    return both.select("n", (F.col("min") >= 1 - 1e-9).alias("above"))
+
+
+@register("log_requests", """WITH l AS (SELECT user_id AS trace_id, extract(hour FROM ts) AS round, event_id AS seq, event_id * 4096 AS offs, 4096 * (1 + event_id % 3) AS len, CASE WHEN event_id % 5 = 0 THEN NULL ELSE event_id // 400 END AS req FROM events),
+m AS (SELECT *, CASE WHEN req = lag(req) OVER (PARTITION BY trace_id, round ORDER BY seq) THEN 0 ELSE 1 END AS fresh FROM l), g AS (SELECT *, sum(fresh) OVER (PARTITION BY trace_id, round ORDER BY seq ROWS UNBOUNDED PRECEDING) AS run FROM m)
+SELECT trace_id, round, min(seq) AS idx, arg_min(offs, seq) AS "offset", sum(len)::BIGINT AS length, count(*) AS n_ranges FROM g GROUP BY trace_id, round, run""")
+def log_requests(spark, d):
+    e = spark.read.parquet(f"{d}/events.parquet")
+    log = e.select(F.col("user_id").alias("trace_id"), F.hour("ts").cast("long").alias("round"), F.col("event_id").alias("seq"), (F.col("event_id") * 4096).alias("offset"), (4096 * (1 + F.col("event_id") % 3)).alias("length"), F.lit(0.0).alias("start_ms"), F.lit(1.0).alias("end_ms"), F.when(F.col("event_id") % 5 != 0, F.floor(F.col("event_id") / 400)).alias("req"))
+    return netcost.requests_of_log(log).drop("start_ms", "end_ms")
 
 
 @register("cache_sessions")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..operators import corpus, lexical
+from ..sources.scratch import once
 
 #: (qid, text): frequent, rare, accented, absent and repeated words.
 TEXTS = [(1, "thanedble attion"), (2, "Der SCHAU heit"), (3, "éleux que la"), (4, "zzzabsent idiot"), (5, "of of worthless"), (6, "licensed apache license")]
@@ -32,9 +33,15 @@ def asked(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(TEXTS, "qid long, text string")
 
 
+def index(spark: SparkSession, d: str) -> lexical.TextIndex:
+    """The stored index of the documents, built at its first use."""
+    table = f"{d}/documents.parquet"
+    return lexical.TextIndex.open(spark, once(spark, "text", table, lambda path: lexical.TextIndex.build(docs(spark, d), path)))
+
+
 VALUES = ", ".join(f"({q}, '{t}')" for q, t in TEXTS)
 TOKS = r"toks AS (SELECT doc_id, regexp_extract_all(strip_accents(lower(coalesce(text, ''))), '[\p{L}\p{N}]+') AS t FROM documents), d AS (SELECT doc_id, t, len(t) AS dl FROM toks)"
-ASKED = rf"asked(qid, text) AS (VALUES {VALUES}), terms AS (SELECT DISTINCT qid, unnest(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+')) AS term FROM asked), nt AS (SELECT qid, count(*) AS n_terms FROM terms GROUP BY qid)"
+ASKED = rf"asked(qid, text) AS (VALUES {VALUES}), terms AS (SELECT DISTINCT qid, unnest(regexp_extract_all(strip_accents(lower(text)), '[\p{{L}}\p{{N}}]+')) AS term FROM asked), nt AS (SELECT qid, count(*) AS n_terms FROM terms GROUP BY qid)"
 POST = "p AS (SELECT doc_id, dl, term, count(*) AS f FROM (SELECT doc_id, dl, unnest(t) AS term FROM d) GROUP BY ALL)"
 FOUND = "found AS (SELECT qid, doc_id, dl, term, f FROM p JOIN terms USING (term))"
 STATS = "stats AS (SELECT count(*) AS n_docs, sum(dl) AS total, sum(dl) / count(*) AS avgdl FROM d), df AS (SELECT term, count(*) AS df FROM p GROUP BY term)"
@@ -70,9 +77,9 @@ def fts_df(spark, d):
     return lexical.document_frequencies(lexical.tokenized(docs(spark, d)))
 
 
-@register("fts_postings", f"WITH {TOKS} SELECT doc_id, term, count(*) AS tf, min(pos) AS first_pos, max(pos) AS last_pos FROM (SELECT doc_id, unnest(t) AS term, generate_subscripts(t, 1) - 1 AS pos FROM d) WHERE starts_with(term, 'ein') GROUP BY ALL")
+@register("fts_postings", f"WITH {TOKS} SELECT doc_id, term, count(*) AS tf, min(pos) AS first_pos, max(pos) AS last_pos FROM (SELECT doc_id, unnest(t) AS term, generate_subscripts(t, 1) - 1 AS pos FROM d) GROUP BY ALL")
 def fts_postings(spark, d):
-    rows = lexical.postings(lexical.tokenized(docs(spark, d))).where(F.startswith("term", F.lit("ein")))
+    rows = lexical.postings(lexical.tokenized(docs(spark, d)))
     return rows.select("doc_id", "term", "tf", F.array_min("positions").cast("long").alias("first_pos"), F.array_max("positions").cast("long").alias("last_pos"))
 
 
@@ -81,19 +88,19 @@ def word_postings(spark, d):
     return corpus.word_postings(lexical.tokenized(docs(spark, d)))
 
 
-@register("fts_query_terms", rf"SELECT conv_id, turn, array_to_string(list_distinct_ordered, ' ') AS terms FROM (SELECT conv_id, turn, list_filter(w, lambda x, i: list_position(w, x) = i) AS list_distinct_ordered FROM (SELECT conv_id, turn, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+') AS w FROM conversations))")
+@register("fts_query_terms", rf"SELECT conv_id, turn, array_to_string(list_distinct_ordered, ' ') AS terms FROM (SELECT conv_id, turn, list_filter(w, lambda x, i: list_position(w, x) = i) AS list_distinct_ordered FROM (SELECT conv_id, turn, regexp_extract_all(strip_accents(lower(text)), '[\p{{L}}\p{{N}}]+') AS w FROM conversations))")
 def fts_query_terms(spark, d):
     return spark.read.parquet(f"{d}/conversations.parquet").select("conv_id", "turn", F.array_join(tx.query_terms(F.col("text")), " ").alias("terms"))
 
 
 @register("fts_match_and", f"{BASE} SELECT qid, doc_id FROM found JOIN nt USING (qid) GROUP BY qid, doc_id, n_terms HAVING count(*) = n_terms")
 def fts_match_and(spark, d):
-    return lexical.match_all(lexical.tokenized(docs(spark, d)), asked(spark))
+    return lexical.match_all(index(spark, d), asked(spark))
 
 
 @register("fts_match_or", f"{BASE} SELECT DISTINCT qid, doc_id FROM found")
 def fts_match_or(spark, d):
-    return lexical.match_any(lexical.tokenized(docs(spark, d)), asked(spark))
+    return lexical.match_any(index(spark, d), asked(spark))
 
 
 @register("fts_match_phrase", f"WITH {TOKS} SELECT doc_id, len(list_filter(range(1, len(t)), lambda k: t[k] = 'of' AND t[k + 1] = 'the')) AS n_hits FROM d WHERE n_hits > 0")
@@ -112,38 +119,38 @@ def _rows(df: DataFrame) -> DataFrame:
 
 @register("fts_bm25", f"{BASE} {ranked(scored(BM25))}")
 def fts_bm25(spark, d):
-    return _rows(lexical.search(docs(spark, d), asked(spark)))
+    return _rows(lexical.search(index(spark, d), asked(spark)))
 
 
 @register("fts_bm25_and", f"{BASE} {ranked(scored(BM25, 'HAVING count(*) = n_terms'))}")
 def fts_bm25_and(spark, d):
-    return _rows(lexical.search(docs(spark, d), asked(spark), mode="and"))
+    return _rows(lexical.search(index(spark, d), asked(spark), mode="and"))
 
 
 @register("fts_bm25c", f"{BASE} {ranked(scored('1.2::DOUBLE'))}")
 def fts_bm25c(spark, d):
-    return _rows(lexical.search(docs(spark, d), asked(spark), ranking="bm25c"))
+    return _rows(lexical.search(index(spark, d), asked(spark), ranking="bm25c"))
 
 
 @register("fts_bm25dl", f"{BASE} {ranked(scored(NORM.format('CASE WHEN doc_id % 3 = 0 THEN avgdl ELSE doc_id % 100 END')))}")
 def fts_bm25dl(spark, d):
     length = F.when(F.col("doc_id") % 3 != 0, F.col("doc_id") % 100)
-    return _rows(lexical.search(docs(spark, d), asked(spark), ranking="bm25dl", length=length))
+    return _rows(lexical.search(index(spark, d), asked(spark), ranking="bm25dl", length=length))
 
 
 @register("fts_bm25_rerank", f"{BASE}, top AS ({ranked(scored('1.2::DOUBLE'), 50)}), exact AS (SELECT s.* FROM {scored(BM25)} s SEMI JOIN top USING (qid, doc_id)) {ranked('exact')}")
 def fts_bm25_rerank(spark, d):
-    return _rows(lexical.search(docs(spark, d), asked(spark), ranking="bm25-rerank"))
+    return _rows(lexical.search(index(spark, d), asked(spark), ranking="bm25-rerank"))
 
 
 @register("fts_bm25_prefetch", f"{BASE} {ranked(scored(BM25))}")
 def fts_bm25_prefetch(spark, d):
-    return _rows(lexical.search(docs(spark, d), asked(spark), ranking="bm25-prefetch"))
+    return _rows(lexical.search(index(spark, d), asked(spark), ranking="bm25-prefetch"))
 
 
 @register("fts_unranked", f"{BASE} SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY doc_id) AS rank, doc_id, NULL::DOUBLE AS score FROM (SELECT DISTINCT qid, doc_id FROM found) QUALIFY rank <= 10")
 def fts_unranked(spark, d):
-    return _rows(lexical.search(docs(spark, d), asked(spark), ranking="none"))
+    return _rows(lexical.search(index(spark, d), asked(spark), ranking="none"))
 
 
 @register(
@@ -161,13 +168,13 @@ def fts_bm25_weighted(spark, d):
 
 @register("search_with_text", f"{BASE}, top AS ({ranked(scored('1.2::DOUBLE'), 5)}) SELECT qid, rank, doc_id, score, left(text, 80) AS snippet FROM top JOIN documents USING (doc_id)")
 def search_with_text(spark, d):
-    hits = lexical.search(docs(spark, d), asked(spark), 5, "bm25c")
+    hits = lexical.search(index(spark, d), asked(spark), 5, "bm25c")
     return _rows(docs(spark, d).join(lexical.hint(hits), "doc_id").select("qid", "rank", "doc_id", "score", F.left("text", F.lit(80)).alias("snippet")))
 
 
 @register("fts_stored_length", f"{BASE}, top AS ({ranked(scored('1.2::DOUBLE'), 5)}) SELECT qid, rank, doc_id, dl FROM top LEFT JOIN d USING (doc_id)")
 def fts_stored_length(spark, d):
-    hits = lexical.search(docs(spark, d), asked(spark), 5, "bm25c")
+    hits = lexical.search(index(spark, d), asked(spark), 5, "bm25c")
     lengths = lexical.tokenized(docs(spark, d)).select("doc_id", F.col("dl").cast("long").alias("dl"))
     return _rows(hits.join(lengths, "doc_id", "left").select("qid", "rank", "doc_id", "dl"))
 
@@ -214,7 +221,6 @@ def skip_tokens(spark, d):
     return toks.select("doc_id", F.size(tx.skip_tokens(F.transform("tokens", F.length), [2, 5])).cast("long").alias("n_left"))
 
 
-@register("word_windows", f"WITH {TOKS}, w AS (SELECT doc_id AS src, unnest(t) AS word, generate_subscripts(t, 1) - 1 AS pos FROM d WHERE doc_id = 7) SELECT pos // 50 AS doc_id, string_agg(word, ' ' ORDER BY pos) AS text FROM w GROUP BY 1")
+@register("word_windows", f"WITH {TOKS}, w AS (SELECT t AS words, sum(len(t)) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM d), p AS (SELECT unnest(words) AS word, coalesce(before, 0) + generate_subscripts(words, 1) - 1 AS pos FROM w) SELECT (pos // 50)::BIGINT AS doc_id, string_agg(word, ' ' ORDER BY pos) AS text FROM p GROUP BY 1")
 def word_windows(spark, d):
-    toks = lexical.tokenized(docs(spark, d).where("doc_id = 7"))
-    return corpus.word_windows(toks.select(F.posexplode("tokens").alias("pos", "word")))
+    return corpus.word_windows(corpus.word_positions(lexical.tokenized(docs(spark, d))))

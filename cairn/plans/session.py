@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators import dense, graph, ivf, late, lexical
@@ -13,14 +15,30 @@ DEFAULTS = {
     "ivf": {"nprobe": 16, "rerank_k": 64, "rerank": True},
     "exact": {},
     "late": {"nprobe": 8, "rerank": 64},
+    "snapshot": {},
 }
+#: Options of late searches by the type of their values; others in a list of options are ignored.
+OPTIONS = {"k": int, "nprobe": int, "layout": str, "approx": str, "ndocs": int, "impute": int, "cross": int, "rerank": int, "tcs": float, "stoplist": float}
+
+
+def parse_options(text: str | None) -> dict:
+    """Options of "key=value" parts separated by blanks, commas or semicolons; what isn't known is ignored,
+    a value that isn't a number counts as 0."""
+    found = dict(part.split("=", 1) for part in re.split(r"[ ,;]+", text or "") if "=" in part)
+    out: dict = {}
+    for name in OPTIONS.keys() & found.keys():
+        kind = OPTIONS[name]
+        number = re.match(r"[+-]?\d+" if kind is int else r"[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?", found[name])
+        out[name] = found[name] if kind is str else kind(number[0]) if number else kind(0)
+    return out
 
 
 class SearchSession:
     """Registered tables and indexes by name; ``search`` picks one by name or by kind.
 
-    Kinds: fts (documents), exact and graph (vectors), ivf (an IvfIndex), late (coded tokens and
-    centroids). Of several, an exact name goes first; "dense" prefers a graph.
+    Kinds: fts (documents or a TextIndex), exact (vectors), graph (a GraphIndex), ivf (an IvfIndex),
+    late (coded tokens and centroids), snapshot (a Snapshot). Of several, an exact name goes first;
+    "dense" prefers a graph.
     """
 
     def __init__(self, spark: SparkSession):
@@ -35,7 +53,7 @@ class SearchSession:
     def resolve(self, system: str) -> str:
         if system in self.systems:
             return system
-        kinds = ("graph", "ivf", "exact") if system == "dense" else (system,)
+        kinds = ("graph", "ivf", "snapshot", "exact") if system == "dense" else (system,)
         for kind in kinds:
             for name, (own, _) in self.systems.items():
                 if own == kind:
@@ -50,10 +68,17 @@ class SearchSession:
         if kind == "exact":
             return dense.exact_search(what, queries, k, **options)
         if kind == "graph":
-            return graph.graph_search(what, queries, k, **options)
+            return graph.search(what, queries, k, **options)
+        if kind == "snapshot":
+            return what.search(queries, k, **options)
         if kind == "ivf":
             return ivf.search(what, queries, k, **options)
         coded, centroids = what
+        options = {n: bool(v) if n in ("impute", "cross") else v for n, v in options.items()}
+        if options.pop("layout", "warp") == "plaid":
+            options.pop("rerank", None)
+            return late.plaid(coded, queries, centroids, k, **options)
+        options.pop("approx", None), options.pop("ndocs", None)
         return late.warp(coded, queries, centroids, k, **options)
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vectors as vx
 from ..operators import dense, graph, ivf, quantize
+from ..sources.scratch import once, stash
 from .snapshot import live
 
 QUERIES: dict = {}
@@ -29,15 +30,16 @@ def emb(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(f"{d}/embeddings.parquet")
 
 
-def asked(spark: SparkSession, d: str, n: int = 20) -> DataFrame:
-    return emb(spark, d).where(F.col("vec_id") < n)
+def asked(spark: SparkSession, d: str) -> DataFrame:
+    """Every fiftieth vector asks for its neighbours among all."""
+    return emb(spark, d).where(F.col("vec_id") % 50 == 0)
 
 
 def out(df: DataFrame) -> DataFrame:
     return df.withColumn("rank", F.col("rank").cast("long"))
 
 
-E = "e AS (SELECT vec_id, embedding::DOUBLE[] AS v, label FROM embeddings), q AS (SELECT vec_id AS qid, v AS qv FROM e WHERE vec_id < 20)"
+E = "e AS (SELECT vec_id, embedding::DOUBLE[] AS v, label FROM embeddings), q AS (SELECT vec_id AS qid, v AS qv FROM e WHERE vec_id % 50 = 0)"
 L2 = "list_sum(list_transform(list_zip({0}, {1}), lambda x: (x[1] - x[2]) * (x[1] - x[2])))"
 COS = "round(1 - list_dot_product(qv, v), 6) + 0"
 
@@ -147,9 +149,10 @@ def pq_encode(spark, d):
 ADC = "adc AS (SELECT qid, vec_id AS id, round(1 - sum(list_dot_product(qv[j * 8 + 1:j * 8 + 8], c)), 6) + 0 AS distance FROM q, codes GROUP BY ALL)"
 
 
-def flat_index(spark, d, metric: str = "cosine") -> ivf.IvfIndex:
-    """All vectors in one list, coded as they are."""
-    return ivf.build(emb(spark, d), np.zeros((1, 64)), book(spark, d), metric, residual=False)
+def flat_index(spark, d) -> ivf.IvfIndex:
+    """All vectors in one list, coded as they are; stored at its first use."""
+    build = lambda path: ivf.save(ivf.build(emb(spark, d), np.zeros((1, 64)), book(spark, d), residual=False), path)
+    return ivf.load(spark, once(spark, "flat", f"{d}/embeddings.parquet", build))
 
 
 @register("dense_exact_pq", f"WITH {E}, {SUB}, {ADC} {ranked('adc')}")
@@ -207,6 +210,11 @@ rcodes AS (SELECT vec_id, j, w FROM (SELECT vec_id, rsub.j, w, row_number() OVER
 
 
 def index(spark, d) -> ivf.IvfIndex:
+    """The stored index, built at its first use."""
+    return ivf.load(spark, once(spark, "ivf", f"{d}/embeddings.parquet", lambda path: ivf.save(new_index(spark, d), path)))
+
+
+def new_index(spark, d) -> ivf.IvfIndex:
     c = ivf.label_centroids(emb(spark, d))
     first = np.array([r[0] for r in emb(spark, d).orderBy("vec_id").limit(CODES).select("embedding").collect()], np.float64)
     rest = first - c[ivf.nearest(c, first)]
@@ -251,35 +259,125 @@ def update_then_search(spark, d):
     return out(dense.exact_search(live(base, changed, gone, "vec_id"), asked(spark, d)))
 
 
+def graph_index(spark, d) -> graph.GraphIndex:
+    """The stored graph, built at its first use; codes of all 64 dimensions, four each."""
+    def build(path: str) -> None:
+        graph.build(emb(spark, d), quantize.train_pq(emb(spark, d), 16, codes=64).rounded(), stored="f32").save(path)
+
+    return graph.GraphIndex.open(spark, once(spark, "graph", f"{d}/embeddings.parquet", build))
+
+
+def _recalled(spark, d, found: DataFrame, k: int = 10) -> DataFrame:
+    """One row: queries, and whether 0.9 of the true neighbours are among those found."""
+    true = dense.exact_search(emb(spark, d), asked(spark, d), k).select("qid", "id", F.lit(1).alias("hit"))
+    both = true.join(found.select("qid", "id", F.lit(1).alias("got")), ["qid", "id"], "left")
+    return both.agg(F.count_distinct("qid").alias("n_queries"), (F.count("got") >= 0.9 * F.count("hit")).alias("recalled"))
+
+
+#: What a search that finds 0.9 of the true neighbours gives.
+RECALLED = f"WITH {E} SELECT count(*) AS n_queries, true AS recalled FROM q"
+
+
 @register("graph_search")
 def graph_search(spark, d):
-    return out(graph.graph_search(emb(spark, d), asked(spark, d)))
+    return out(graph.search(graph_index(spark, d), asked(spark, d)))
+
+
+@register("graph_recall", RECALLED)
+def graph_recall(spark, d):
+    return _recalled(spark, d, graph.search(graph_index(spark, d), asked(spark, d), ef=128))
+
+
+@register("graph_rerank_modes", f"SELECT n_queries, recalled, unnest([1, 2, 3]) AS mode FROM ({RECALLED})")
+def graph_rerank_modes(spark, d):
+    parts = [_recalled(spark, d, graph.search(graph_index(spark, d), asked(spark, d), ef=200, rerank=mode)).withColumn("mode", F.lit(mode)) for mode in (1, 2, 3)]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@register("graph_degree", "SELECT count(*) AS nodes, true AS within FROM embeddings")
+def graph_degree(spark, d):
+    return graph.average_degree(graph_index(spark, d)).select("nodes", F.col("degree").between(1, 32).alias("within"))
+
+
+@register("graph_insert", RECALLED)
+def graph_insert(spark, d):
+    index = graph_index(spark, d)
+    half = emb(spark, d).where("vec_id % 10 < 8")
+    grown = graph.insert(graph.build(half, index.book, stored="f32"), emb(spark, d).where("vec_id % 10 >= 8"))
+    return _recalled(spark, d, graph.search(grown, asked(spark, d), ef=128))
+
+
+@register("graph_walk", """WITH RECURSIVE near AS (SELECT a.vec_id AS node, b.vec_id AS nbr, row_number() OVER (PARTITION BY a.vec_id ORDER BY round(1 - list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) + 0, b.vec_id) AS r FROM embeddings a, embeddings b WHERE a.vec_id <> b.vec_id QUALIFY r <= 4),
+w AS (SELECT vec_id AS qid, vec_id AS node, 0 AS round FROM embeddings WHERE vec_id % 50 = 0 UNION SELECT qid, nbr, round + 1 FROM w JOIN near USING (node) WHERE round < 2) SELECT qid, node, min(round)::BIGINT AS round FROM w GROUP BY ALL""")
+def graph_walk(spark, d):
+    near = graph.shard_neighbours(emb(spark, d), 4).groupBy("node").agg(F.collect_list("nbr").alias("nbrs"))
+    start = asked(spark, d).select(F.col("vec_id").alias("qid"), F.col("vec_id").alias("node"))
+    return graph.walk(start, stash(near, "adjacency"), 2).withColumn("round", F.col("round").cast("long"))
 
 
 @register("graph_prune")
 def graph_prune(spark, d):
-    e = emb(spark, d).where("vec_id < 200")
-    near = dense.exact_search(e, e, 16, include_self=False).select(F.col("qid").alias("node"), F.col("id").alias("nbr"))
+    e = emb(spark, d)
     v = e.select("vec_id", vx.doubles("embedding").alias("v"))
+    near = graph.shard_neighbours(e, 16).select("node", "nbr")
     pairs = near.join(v.withColumnRenamed("vec_id", "node"), "node").join(v.select(F.col("vec_id").alias("nbr"), F.col("v").alias("nbr_v")), "nbr")
     kept = graph.prune_neighbours(pairs, 8)
     return kept.select("node", F.array_join("kept", ",").alias("kept"), F.size("kept").cast("long").alias("degree"))
 
 
-@register("centroid_quantize")
+def _quantized(top: int) -> str:
+    """SQL of centroids through a signed code of ``top`` steps with a float16 scale, checked within half a step."""
+    return f"SELECT list_id, d, {8 if top == 127 else 4} AS bits, true AS close FROM (SELECT list_id, unnest(range(64)) AS d FROM cen)"
+
+
+@register("centroid_quantize", f"WITH {E}, {LISTS} {_quantized(127)} UNION ALL {_quantized(7)}")
 def centroid_quantize(spark, d):
     c = ivf.label_centroids(emb(spark, d))
-    rows = [(i, j, bits, float(x)) for bits in (8, 4) for i, own in enumerate(quantize.quantize_centroids(c, bits)) for j, x in enumerate(own)]
-    return spark.createDataFrame(rows, "list_id long, d long, bits int, x double")
+    rows = []
+    for bits, top in ((8, 127), (4, 7)):
+        coded, step = quantize.quantize_centroids(c, bits), np.abs(c).max(1, keepdims=True) / top
+        # half a step, and what the scale loses in float16
+        close = np.abs(coded - c) <= step * (0.5 + top * 2.0**-10)
+        rows += [(i, j, bits, bool(x)) for i, own in enumerate(close) for j, x in enumerate(own)]
+    return spark.createDataFrame(rows, "list_id int, d long, bits int, close boolean")
+
 
+@register("codebook_int8", "SELECT j, code, true AS close FROM (SELECT unnest(range(8)) AS j), (SELECT unnest(range(16)) AS code)")
+def codebook_int8(spark, d):
+    own = book(spark, d)
+    steps = np.abs(own.centroids).max((1, 2)) / 127
+    error = np.abs(own.rounded("int8").centroids - own.centroids).max(2)
+    return spark.createDataFrame([(j, c, bool(error[j, c] <= 0.5 * steps[j] + 1e-12)) for j in range(M) for c in range(CODES)], "j long, code long, close boolean")
 
-@register("pq_trained")
+
+def _searched(spark, d, trained: quantize.Codebook) -> DataFrame:
+    flat = ivf.build(emb(spark, d), np.zeros((1, 64)), trained, residual=False)
+    return _recalled(spark, d, ivf.search(flat, asked(spark, d), nprobe=1, rerank=True, rerank_k=200))
+
+
+@register("pq_trained", RECALLED)
 def pq_trained(spark, d):
-    trained = quantize.train_pq(emb(spark, d), M, codes=32)
-    return out(ivf.search(ivf.build(emb(spark, d), np.zeros((1, 64)), trained, residual=False), asked(spark, d), nprobe=1, rerank=True))
+    return _searched(spark, d, quantize.train_pq(emb(spark, d), M, codes=64))
 
 
-@register("opq_trained")
+@register("opq_trained", RECALLED)
 def opq_trained(spark, d):
-    trained = quantize.train_opq(emb(spark, d), M, 2, codes=16)
-    return out(ivf.search(ivf.build(emb(spark, d), np.zeros((1, 64)), trained, residual=False), asked(spark, d), nprobe=1, rerank=True))
+    return _searched(spark, d, quantize.train_opq(emb(spark, d), M, 2, codes=64))
+
+
+@register("stored_f16", """SELECT vec_id, d, round(CASE WHEN x = 0 THEN 0 ELSE sign(x) * round_even(abs(x) / step, 0) * step END, 6) + 0 AS x
+FROM (SELECT *, pow(2, greatest(floor(log2(abs(x))), -14) - 10) AS step FROM (SELECT vec_id, unnest(range(64)) AS d, unnest(embedding)::DOUBLE AS x FROM embeddings))""")
+def stored_f16(spark, d):
+    """Half precision keeps eleven bits."""
+    stored = quantize.unpacked(quantize.packed(emb(spark, d).select("vec_id", "embedding"), "embedding", "f16"), "embedding", "f16", 64)
+    return stored.select("vec_id", F.posexplode("embedding").alias("d", "x")).select("vec_id", F.col("d").cast("long").alias("d"), (F.round(F.col("x").cast("double"), 6) + 0.0).alias("x"))
+
+
+@register("stored_int8", "SELECT vec_id, d, true AS close FROM (SELECT vec_id, unnest(range(64)) AS d FROM embeddings)")
+def stored_int8(spark, d):
+    """Whether each element comes back within half a step of its vector."""
+    rows = emb(spark, d).select("vec_id", vx.doubles("embedding").alias("v"), "embedding")
+    stored = quantize.unpacked(quantize.packed(rows, "embedding", "int8"), "embedding", "int8", 64)
+    step = F.array_max(F.transform("v", F.abs)) / 127
+    spread = stored.withColumn("step", step).select("vec_id", "step", F.posexplode(F.arrays_zip("v", "embedding")).alias("d", "p"))
+    return spread.select("vec_id", F.col("d").cast("long").alias("d"), (F.abs(F.col("p.v") - F.col("p.embedding")) <= F.col("step") / 2 + 1e-6).alias("close"))
