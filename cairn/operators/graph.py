@@ -165,11 +165,12 @@ class Shard:
         at = next(iter(self.upper[-1]))
         for level in reversed(self.upper):
             while True:
-                around = np.append(level[at], at) if at in level else np.array([at])
-                best = int(around[score(around).argmin()])
-                if best == at:
+                around = np.append(at, level.get(at, np.zeros(0, np.int64)))
+                near = score(around)
+                # nodes of one code tie, and the walk stays
+                if near.min() >= near[0]:
                     break
-                at = best
+                at = int(around[near.argmin()])
         return np.unique(np.append(self.upper[0].get(at, np.zeros(0, np.int64)), at))
 
     def search(self, q: np.ndarray, table: np.ndarray, k: int, ef: int, width: int, mode: int, seeds: np.ndarray, metric: str, alive: np.ndarray | None = None) -> list[tuple[float, int]]:
