@@ -216,7 +216,7 @@ def encode_batch(texts: list[str], pieces: Pieces, lexicon: Lexicon) -> list[byt
     raw = [p.encode() for p in distinct]
     number = lexicon.numbers(raw)
     found: dict[str, bytes] = {}
-    starts, ends, ids = lexicon.offsets[number], lexicon.offsets[np.minimum(number + 1, len(lexicon.offsets) - 1)], memoryview(lexicon.ids.tobytes())
+    starts, ends, ids = lexicon.offsets[number], lexicon.offsets[np.minimum(number + 1, len(lexicon.offsets) - 1)], memoryview(lexicon.ids.view(np.uint8))
     for p, r, n, a, b in zip(distinct, raw, number.tolist(), starts.tolist(), ends.tolist(), strict=True):
         found[p] = bytes(ids[4 * a : 4 * b]) if n >= 0 else np.array(pieces.merge(r), "<u4").tobytes()
     for w, s in zip(words, split, strict=True):

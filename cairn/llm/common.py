@@ -2,26 +2,19 @@
 
 from __future__ import annotations
 
-import os
-import uuid
+import tempfile
+import zipfile
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.scratch import scratch_path
+
 #: Rows of narrow key tables (at most ~40 bytes a row) that may be broadcast; beyond it joins shuffle.
 BROADCAST_ROWS = 1_000_000
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a fixed one only where the session names none."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints/cairn").rstrip("/")
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/cairn-{uuid.uuid4().hex}/{name}"
-
-
 def stash(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back, which cuts its lineage.
 
@@ -77,15 +70,24 @@ def drop_rows(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id", text_col
     return docs.join(keys, docs[id_col].eqNullSafe(keys["_id"]) & (text_hash(text_col) == keys["_hash"]), "left_anti")
 
 
+_shipped: set[str] = set()
+
+
 def ship(spark: SparkSession) -> None:
-    """Let Python workers that share this machine's file system import the package."""
-    root = str(Path(__file__).resolve().parents[2])
-    env = spark.sparkContext.environment
-    paths = [p for p in (env.get("PYTHONPATH") or os.environ.get("PYTHONPATH", "")).split(":") if p]
-    if root not in paths:
-        paths.insert(0, root)
-    env["PYTHONPATH"] = ":".join(paths)
-    env["TOKENIZERS_PARALLELISM"] = "false"
+    """Let Python workers on any machine import the package: the driver hands out an archive of it, once
+    an application."""
+    context = spark.sparkContext
+    context.environment["TOKENIZERS_PARALLELISM"] = "false"
+    if context.applicationId in _shipped:
+        return
+    package = Path(__file__).resolve().parents[1]
+    # read by Spark at the driver, which serves it to executors
+    archive = Path(tempfile.mkdtemp()) / f"{package.name}.zip"
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+        for file in sorted(package.rglob("*.py")):
+            z.write(file, file.relative_to(package.parent))
+    context.addPyFile(str(archive))
+    _shipped.add(context.applicationId)
 
 
 def tokenizer_path(name: str) -> str:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stash
+from .common import join_unique, stash
 
 
 def _mark(edges: DataFrame) -> tuple:
@@ -17,18 +17,19 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
     Only nodes with an edge to another node appear. Each round moves every neighbour above a node
     to the smallest neighbour (large star), then those below it (small star); rounds grow with the
-    logarithm of the nodes. Edges stay in tables of the shared folder, none goes to the driver.
+    logarithm of the nodes. Edges stay in tables of the shared folder, none goes to the driver; those of
+    hubs are not exchanged by their node.
     """
     now = stash(edges.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     mark = _mark(now)
     while mark[0]:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.first("u"), F.min("v")).alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = join_unique(both, low, ["u"]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         large = stash(large, "large")
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = (
-            large.join(low, "u")
+            join_unique(large, low, ["u"])
             .select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
             .select("e.u", "e.v")
             .where("u != v")

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import BROADCAST_ROWS, ship, small, stash
+from .common import BROADCAST_ROWS, join_unique, ship, small, stash
 from .components import connected_components
 
 COORDINATES = 48
@@ -184,7 +184,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, rows: DataFrame, width: int, pe
 def _leaders(postings: DataFrame, order: Column) -> DataFrame:
     """Pairs of each list's members with the one that comes first."""
     first = postings.groupBy("pos", "value").agg(F.min(F.struct(order.alias("o"), F.col("node").alias("b"), F.col("part").alias("part_b"))).alias("f"))
-    joined = postings.join(first, ["pos", "value"]).where(F.col("part") != F.col("f.part_b"))
+    joined = join_unique(postings, first, ["pos", "value"]).where(F.col("part") != F.col("f.part_b"))
     return joined.select(F.greatest("node", F.col("f.b")).alias("a"), F.least("node", F.col("f.b")).alias("b"))
 
 

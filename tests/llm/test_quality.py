@@ -76,3 +76,21 @@ def test_without_trusted_rows_and_without_rows(spark):
     none = spark.createDataFrame([], "doc_id long")
     assert [(r.score, r.kept) for r in ql.quality_rules(docs, none).collect()] == [(0.0, True)]
     assert ql.quality_rules(docs.limit(0), none).count() == 0
+
+
+def test_many_trusted_rows_move_their_texts_only(spark, monkeypatch):
+    docs = spark.createDataFrame(corpus(), "doc_id long, text string")
+    trusted = docs.where("doc_id % 5 != 0 AND doc_id % 2 = 1").select("doc_id")
+    few = ql.fit_ratio(docs, trusted)
+    monkeypatch.setattr(ql, "BROADCAST_ROWS", 10)
+    assert np.array_equal(few, ql.fit_ratio(docs, trusted))
+
+
+def test_calibration(spark):
+    docs = spark.createDataFrame(corpus(), "doc_id long, text string")
+    trusted = docs.where("doc_id % 5 != 0 AND doc_id % 2 = 1").select("doc_id")
+    scored = ql.quality_rules(docs, trusted)
+    limit = ql.threshold_for(scored, trusted, 0.9)
+    scores = [r.score for r in scored.join(trusted, "doc_id").where("NOT base_failed").collect()]
+    assert abs(np.mean([s >= limit for s in scores]) - 0.9) < 0.02
+    assert ql.threshold_for(scored, trusted.limit(0)) == ql.THRESHOLD
