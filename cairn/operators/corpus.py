@@ -99,6 +99,11 @@ def sample_per_kind(rows: DataFrame, kind: str, key: str, n: int, seed: str) ->
     return rows.withColumn("slot", F.row_number().over(Window.partitionBy(kind).orderBy(order, key))).where(F.col("slot") <= n)
 
 
+def first_per_session(rows: DataFrame, session: str, kind: str, order: str, n: int) -> DataFrame:
+    """The first n rows of each kind within each session, by ``order``."""
+    return rows.withColumn("slot", F.row_number().over(Window.partitionBy(session, kind).orderBy(order))).where(F.col("slot") <= n)
+
+
 def plaid_sizing(counts: DataFrame) -> DataFrame:
     """Centroids, sampled documents and lists for (n_docs, n_tokens)."""
     return counts.select(

@@ -263,5 +263,5 @@ def ranked_probes(queries: DataFrame, centroids: DataFrame, nprobe: int) -> Data
     """(qid, list_id, probe_rank) for small tables (qid, q) and (list_id, c)."""
     from ..functions.vectors import l2sq
 
-    d = queries.join(F.broadcast(centroids)).select("qid", "list_id", l2sq(F.col("q"), F.col("c")).alias("d"))
+    d = queries.join(hint(centroids)).select("qid", "list_id", l2sq(F.col("q"), F.col("c")).alias("d"))
     return d.withColumn("probe_rank", F.row_number().over(Window.partitionBy("qid").orderBy("d", "list_id"))).where(F.col("probe_rank") <= nprobe)

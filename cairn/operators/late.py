@@ -74,6 +74,11 @@ def _matrix_of(centroids: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return got["cid"].to_numpy(), matrix(got["c"].combine_chunks()) if got.num_rows else np.zeros((0, 1))
 
 
+def centroid_matrix(centroids: DataFrame) -> np.ndarray:
+    """The vectors of centroids (cid, c), in order of cid, at the driver."""
+    return _matrix_of(centroids)[1]
+
+
 def best_of(v: np.ndarray, c: np.ndarray) -> np.ndarray:
     """The row of c with the largest product for each row of v, the first on ties."""
     out = np.empty(len(v), np.int64)
@@ -224,37 +229,45 @@ class Batch:
     centroids: DataFrame
     n_tokens: int
     n_centroids: int
+    cells: np.ndarray | None = None
+    cprobe: int = 4
 
     @classmethod
-    def of(cls, queries: DataFrame, centroids: DataFrame) -> "Batch":
-        return cls(queries, centroids, *(df.limit(MAX_BROADCAST_QUERIES + 1).count() for df in (queries, centroids)))
+    def of(cls, queries: DataFrame, centroids: DataFrame, cells: np.ndarray | None = None, cprobe: int = 4) -> "Batch":
+        return cls(queries, centroids, *(df.limit(MAX_BROADCAST_QUERIES + 1).count() for df in (queries, centroids)), cells, cprobe)
 
     def hint(self, df: DataFrame, rows: int) -> DataFrame:
         """Broadcast ``df``, which has at most that many rows, if these are few."""
         return F.broadcast(df) if rows <= MAX_BROADCAST_QUERIES else df
 
     def scores(self) -> DataFrame:
-        return centroid_scores(self.queries, self.centroids, self.n_centroids)
+        return centroid_scores(self.queries, self.centroids, self.cells, self.cprobe)
 
 
-def centroid_scores(queries: DataFrame, centroids: DataFrame, n_centroids: int | None = None) -> DataFrame:
+def centroid_scores(queries: DataFrame, centroids: DataFrame, cells: np.ndarray | None = None, cprobe: int = 4) -> DataFrame:
     """(qid, i, cid, s): products of query tokens and centroids, a block of tokens at once.
 
     Centroids are held by the driver and broadcast as one matrix (see ``assign``); each query token
-    has one row a centroid.
+    has one row a centroid, or with coarse ``cells`` one for each in its ``cprobe`` best cells.
     """
     cids, c = _matrix_of(centroids)
-    shared = queries.sparkSession.sparkContext.broadcast((cids, c))
+    shared = queries.sparkSession.sparkContext.broadcast((cids, c, cells, None if cells is None else best_of(c, cells)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cids, c = shared.value
+        cids, c, cells, cell_of = shared.value
         step = max(1, TILE_BYTES // (32 * max(1, len(c))))
         for batch in batches:
             for at in range(0, batch.num_rows, step):
                 part = batch.slice(at, step)
-                s = matrix(part.column(2), c.shape[1]) @ c.T
-                qid, i = (part.column(k).to_numpy(zero_copy_only=False) for k in range(2))
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qid, len(cids))), pa.array(np.repeat(i, len(cids))), pa.array(np.tile(cids, len(qid))), pa.array(s.ravel())], ["qid", "i", "cid", "s"])
+                q = matrix(part.column(2), c.shape[1])
+                s, asked = q @ c.T, np.ones((len(q), len(c)), bool)
+                if cells is not None:
+                    near = np.zeros((len(q), len(cells)), bool)
+                    np.put_along_axis(near, np.argsort(-(q @ cells.T), axis=1, kind="stable")[:, :cprobe], True, 1)
+                    asked = near[:, cell_of]
+                row, column = np.nonzero(asked)
+                qid, i = (part.column(k).to_numpy(zero_copy_only=False)[row] for k in range(2))
+                yield pa.RecordBatch.from_arrays([pa.array(qid), pa.array(i), pa.array(cids[column]), pa.array(s[row, column])], ["qid", "i", "cid", "s"])
 
     return queries.select(F.col("qid").cast("long"), F.col("i").cast("long"), "q").mapInArrow(run, "qid long, i long, cid long, s double")
 
@@ -321,8 +334,9 @@ def _entries(coded: DataFrame, batch: Batch, probed: DataFrame, probes: DataFram
     return rows.select("qid", "doc_id", "i", score.alias("s"), "own")
 
 
-def warp_scores(coded: DataFrame, queries: DataFrame, centroids: DataFrame, nprobe: int = 4, impute: bool = True, cross: bool = True, tcs: float = 0.0, stopped: DataFrame | None = None) -> DataFrame:
-    batch = Batch.of(queries, centroids)
+def warp_scores(coded: DataFrame, queries: DataFrame, centroids: DataFrame, nprobe: int = 4, impute: bool = True, cross: bool = True, tcs: float = 0.0, stopped: DataFrame | None = None, cells: np.ndarray | None = None, cprobe: int = 4) -> DataFrame:
+    """(qid, doc_id, score); with coarse ``cells`` only centroids of each token's ``cprobe`` best cells are probed."""
+    batch = Batch.of(queries, centroids, cells, cprobe)
     _, probed, probes = _query_plan(batch, nprobe, impute, tcs, stopped)
     return _fold(_entries(coded, batch, probed, probes, nprobe, dot(F.col("q"), F.col("v_hat")), cross), probes, batch)
 
@@ -344,13 +358,13 @@ def rescore(candidates: DataFrame, coded: DataFrame, queries: DataFrame, k: int,
     return _sum_of_best(s, k)
 
 
-def plaid(coded: DataFrame, queries: DataFrame, centroids: DataFrame, k: int = 10, nprobe: int = 4, approx: str = "codes", ndocs: int = 256, impute: bool = True, cross: bool = True, tcs: float = 0.0, stopped: DataFrame | None = None) -> DataFrame:
+def plaid(coded: DataFrame, queries: DataFrame, centroids: DataFrame, k: int = 10, nprobe: int = 4, approx: str = "codes", ndocs: int = 256, impute: bool = True, cross: bool = True, tcs: float = 0.0, stopped: DataFrame | None = None, cells: np.ndarray | None = None, cprobe: int = 4) -> DataFrame:
     """PLAID search: documents of probed lists are ranked by centroid scores, the best ``ndocs`` exactly.
 
     ``approx`` "codes" scores all tokens of a candidate by their centroids; "ivf" only those in
     probed lists, with imputed scores for the rest.
     """
-    batch = Batch.of(queries, centroids)
+    batch = Batch.of(queries, centroids, cells, cprobe)
     scores, probed, probes = _query_plan(batch, nprobe, impute, tcs, stopped)
     if approx == "ivf":
         ranked = _fold(_entries(inverted_lists(coded), batch, probed, probes, nprobe, F.col("sc"), cross, scores.withColumnRenamed("s", "sc")), probes, batch)

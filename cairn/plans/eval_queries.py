@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import corpus, dense, evaluation, ivf, netcost
+from ..operators.lexical import hint
 from ..sources.scratch import stash
 from . import vector_queries as vq
 
@@ -30,7 +31,7 @@ def results(spark, d) -> DataFrame:
 def qrels(spark, d) -> DataFrame:
     e = vq.emb(spark, d)
     a = vq.asked(spark, d).select(F.col("vec_id").alias("qid"), "label")
-    return e.join(F.broadcast(a), "label").where("vec_id <> qid").select("qid", F.col("vec_id").alias("id"))
+    return e.join(hint(a), "label").where("vec_id <> qid").select("qid", F.col("vec_id").alias("id"))
 
 
 def per_query(spark, d) -> DataFrame:
@@ -140,6 +141,12 @@ def reads(spark, d) -> DataFrame:
     return e.select(F.col("user_id").alias("trace_id"), F.hour("ts").cast("long").alias("round"), F.lit("f").alias("file"), (F.col("event_id") * 4096).alias("offset"), (4096 * (1 + F.col("event_id") % 3)).alias("length"), F.minute("ts").cast("double").alias("t_issue_ms"))
 
 
+@register("first_per_session", "SELECT event_id, user_id, event_type, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS slot FROM events QUALIFY slot <= 3")
+def first_per_session(spark, d):
+    rows = corpus.first_per_session(spark.read.parquet(f"{d}/events.parquet").select("event_id", "user_id", "event_type"), "user_id", "event_type", "event_id", 3)
+    return rows.withColumn("slot", F.col("slot").cast("long"))
+
+
 @register("coalesce_ranges", f"""WITH {READS}, m AS (SELECT *, max(offs + len) OVER (PARTITION BY trace_id, round ORDER BY offs, len ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM reads),
 g AS (SELECT *, sum(CASE WHEN reach IS NULL OR offs > reach + 65536 THEN 1 ELSE 0 END) OVER (PARTITION BY trace_id, round ORDER BY offs, len ROWS UNBOUNDED PRECEDING) AS run FROM m)
 SELECT trace_id, round, any_value(file) AS file, min(offs) AS "offset", max(offs + len) - min(offs) AS length, min(t_issue_ms) AS t_issue_ms, count(*) AS n_reads FROM g GROUP BY trace_id, round, run""")

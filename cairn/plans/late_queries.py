@@ -224,3 +224,18 @@ def masked_mean(spark, d):
     rows, mask = F.transform("t", lambda t: t["v"]), F.transform("t", lambda t: (t["pos"] < 6).cast("int"))
     spread = packed.select("doc_id", F.posexplode(vx.masked_mean(rows, mask, 64)).alias("d", "x"))
     return spread.select("doc_id", F.col("d").cast("long").alias("d"), (F.round("x", 6) + 0.0).alias("x"))
+
+
+@register("late_assign_cells", f"WITH {T}, {CEN}, {OWN} SELECT doc_id, pos, cid FROM own")
+def late_assign_cells(spark, d):
+    """With all cells probed, a two-level assignment is that of all centroids."""
+    c = centroids(spark, d)
+    cells = late.coarse_cells(late.centroid_matrix(c))
+    return late.assign(tokens(spark, d), c, cells, len(cells)).select("doc_id", "pos", F.col("cid").cast("int").alias("cid"))
+
+
+@register("warp_two_level", f"{HEAD}, {warp_sql()} {ranked('w', 5)}")
+def warp_two_level(spark, d):
+    rows, c = stored(spark, d)
+    cells = late.coarse_cells(late.centroid_matrix(c))
+    return out(late.warp(rows, asked(spark, d), c, 5, nprobe=PROBES, cells=cells, cprobe=len(cells)))

@@ -18,7 +18,7 @@ DEFAULTS = {
     "snapshot": {},
 }
 #: Options of late searches by the type of their values; others in a list of options are ignored.
-OPTIONS = {"k": int, "nprobe": int, "layout": str, "approx": str, "ndocs": int, "impute": int, "cross": int, "rerank": int, "tcs": float, "stoplist": float}
+OPTIONS = {"k": int, "nprobe": int, "layout": str, "approx": str, "ndocs": int, "impute": int, "cross": int, "rerank": int, "tcs": float, "stoplist": float, "cprobe": int}
 
 
 def parse_options(text: str | None) -> dict:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import vectors as vx
 from ..operators import dense, graph, ivf, quantize
 from ..sources.scratch import once, stash
-from .snapshot import live
+from .snapshot import Snapshot, live
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -381,3 +381,43 @@ def stored_int8(spark, d):
     step = F.array_max(F.transform("v", F.abs)) / 127
     spread = stored.withColumn("step", step).select("vec_id", "step", F.posexplode(F.arrays_zip("v", "embedding")).alias("d", "p"))
     return spread.select("vec_id", F.col("d").cast("long").alias("d"), (F.abs(F.col("p.v") - F.col("p.embedding")) <= F.col("step") / 2 + 1e-6).alias("close"))
+
+
+def changed_snapshot(spark, d, layout: str) -> Snapshot:
+    """Nine tenths of the vectors, built; the rest inserted, some deleted, some of them put back."""
+    def build(path: str) -> None:
+        e = emb(spark, d).select("vec_id", "label", "embedding")
+        s = Snapshot.create(e.where("vec_id % 10 < 9"), path, layout=layout, store_vectors="f32", pq_m=16, nlist=16, nprobe=12, rerank_k=200, ef_search=200)
+        s.build()
+        s.insert(e.where("vec_id % 10 = 9"))
+        s.delete(e.where("vec_id % 100 IN (7, 11)").select("vec_id"))
+        s.insert(e.where("vec_id % 100 = 7"))
+
+    return Snapshot.open(spark, once(spark, f"snapshot-{layout}", f"{d}/embeddings.parquet", build))
+
+
+@register("snapshot_rows", "SELECT vec_id, label FROM embeddings WHERE vec_id % 100 <> 11")
+def snapshot_rows(spark, d):
+    return changed_snapshot(spark, d, "exact").rows().select("vec_id", "label")
+
+
+@register("snapshot_exact", f"WITH {E} {exact(COS, 10, 'WHERE vec_id % 100 <> 11')}")
+def snapshot_exact(spark, d):
+    return out(changed_snapshot(spark, d, "exact").search(asked(spark, d)))
+
+
+def _snapshot_recall(spark, d, layout: str) -> DataFrame:
+    s = changed_snapshot(spark, d, layout)
+    true = s.search(asked(spark, d), exact=True).select("qid", "id", F.lit(1).alias("hit"))
+    both = true.join(s.search(asked(spark, d)).select("qid", "id", F.lit(1).alias("got")), ["qid", "id"], "left")
+    return both.agg(F.count_distinct("qid").alias("n_queries"), (F.count("got") >= 0.9 * F.count("hit")).alias("recalled"))
+
+
+@register("snapshot_graph", RECALLED)
+def snapshot_graph(spark, d):
+    return _snapshot_recall(spark, d, "graph")
+
+
+@register("snapshot_ivf", RECALLED)
+def snapshot_ivf(spark, d):
+    return _snapshot_recall(spark, d, "ivf")
