@@ -254,7 +254,10 @@ def log_requests(spark, d):
     return netcost.requests_of_log(log).drop("start_ms", "end_ms")
 
 
-@register("cache_sessions")
+@register("cache_sessions", """WITH t AS (SELECT user_id AS session, event_id AS seq, event_id % 97 AS page, lag(event_id) OVER (PARTITION BY user_id, event_id % 97 ORDER BY event_id) AS prev FROM events),
+b AS (SELECT t.session, t.seq, count(DISTINCT u.page) AS others FROM t JOIN t u ON u.session = t.session AND u.seq > t.prev AND u.seq < t.seq GROUP BY ALL),
+h AS (SELECT t.session, t.prev IS NOT NULL AND coalesce(others, 0) < 16 AS hit FROM t LEFT JOIN b USING (session, seq))
+SELECT session, count(*) FILTER (hit) AS hits, count(*) FILTER (NOT hit) AS misses FROM h GROUP BY session""")
 def cache_sessions(spark, d):
     e = spark.read.parquet(f"{d}/events.parquet")
     return netcost.cache_sessions(e.select(F.col("user_id").alias("session"), F.col("event_id").alias("seq"), (F.col("event_id") % 97).alias("page")), 16)
