@@ -41,17 +41,18 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 HOT_LEAST, HOT_SHARE = 10_000, 500
 
 
-def join_unique(rows: DataFrame, unique: DataFrame, keys: list[str]) -> DataFrame:
+def join_unique(rows: DataFrame, unique: DataFrame, keys: list[str], least: int | None = None) -> DataFrame:
     """``rows`` left-joined with ``unique``, which has one row a key at most.
 
     Rows of hot keys stay where they are: what ``unique`` has for them, ``HOT_SHARE`` rows at most,
-    is broadcast. The others are exchanged. ``rows`` should be cheap to read again.
+    is broadcast. The others are exchanged. ``rows`` should be cheap to read again. Up to ``least``
+    rows (``HOT_LEAST`` unless given) are few enough for one task, whatever their keys.
     """
-    counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     total = rows.count()
-    hot_rows = max(HOT_LEAST, -(-total // HOT_SHARE))
-    if total < hot_rows:
+    if total < (HOT_LEAST if least is None else least):
         return rows.join(unique, keys, "left")
+    hot_rows = max(HOT_LEAST, -(-total // HOT_SHARE))
+    counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     hot = stash(counts.where(F.col("_n") >= hot_rows).drop("_n"), "hot")
     if hot.isEmpty():
         return rows.join(unique, keys, "left")

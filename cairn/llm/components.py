@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from .common import join_unique, stash
 
+#: Edges that one task can hold.
+FEW_EDGES = 1_000_000
+
 
 def _mark(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
@@ -25,11 +28,11 @@ def connected_components(edges: DataFrame) -> DataFrame:
     while mark[0]:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.first("u"), F.min("v")).alias("m"))
-        large = join_unique(both, low, ["u"]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = join_unique(both, low, ["u"], FEW_EDGES).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         large = stash(large, "large")
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = (
-            join_unique(large, low, ["u"])
+            join_unique(large, low, ["u"], FEW_EDGES)
             .select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
             .select("e.u", "e.v")
             .where("u != v")

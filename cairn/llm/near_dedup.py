@@ -194,7 +194,7 @@ def _open_lists(postings: DataFrame, components: DataFrame | None) -> DataFrame:
         # the first pass compared the members of a list of two
         postings = postings.where("n_list > 2").drop("part", "n_list").join(small(components).withColumnRenamed("component", "part"), "node", "left").withColumn("part", F.coalesce("part", "node"))
     spread = postings.groupBy("pos", "value").agg(F.min("part").alias("p"), F.max("part").alias("q"), F.count(F.lit(1)).alias("n_list")).where("p != q")
-    return stash(postings.join(spread.drop("p", "q"), ["pos", "value"]).select("pos", "value", "node", "part", "n_list"), "lists")
+    return stash(join_unique(postings, spread.drop("p", "q"), ["pos", "value"]).where("n_list IS NOT NULL").select("pos", "value", "node", "part", "n_list"), "lists")
 
 
 def _short_hashes(texts: DataFrame, width: int) -> DataFrame:

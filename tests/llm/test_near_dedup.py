@@ -98,3 +98,13 @@ def test_components(spark):
         root[y] = x
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert got == {x: find(x) for x in root if any(x in e and e[0] != e[1] for e in edges)}
+
+
+def test_components_of_hubs_and_chains(spark, monkeypatch):
+    from cairn.llm import common, components
+
+    monkeypatch.setattr(components, "FEW_EDGES", 0)
+    monkeypatch.setattr(common, "HOT_LEAST", 10)
+    edges = [(100, k) for k in range(101, 160)] + [(k, k + 1) for k in range(200, 230)] + [(159, 99), (5, 5)]
+    got = {r.node: r.component for r in components.connected_components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert got == {k: 99 for k in [99, 100, *range(101, 160)]} | {k: 200 for k in range(200, 231)}
