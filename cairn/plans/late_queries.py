@@ -6,11 +6,13 @@ documents make a query; label means are the centroids.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import vectors as vx
-from ..operators import corpus, late
+from ..operators import corpus, late, quantize
 from ..sources.scratch import once
 
 QUERIES: dict = {}
@@ -239,3 +241,32 @@ def warp_two_level(spark, d):
     rows, c = stored(spark, d)
     cells = late.coarse_cells(late.centroid_matrix(c))
     return out(late.warp(rows, asked(spark, d), c, 5, nprobe=PROBES, cells=cells, cprobe=len(cells)))
+
+
+@register("residual_pack", f"WITH {T}, {CEN}, {OWN}, {RES}, {CODEC}, {DEC} SELECT doc_id, pos, array_to_string(b, '') AS buckets FROM buk")
+def residual_pack(spark, d):
+    """Buckets through their packed form of two bits each."""
+    def run(batches):
+        for batch in batches:
+            back = [quantize.unpack_residual(quantize.pack_residual(np.asarray(b), 2), len(b), 2) for b in batch["res"]]
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "pos": batch["pos"], "buckets": ["".join(map(str, b)) for b in back]})
+
+    r = rest(spark, d)
+    return late.encode(r, late.train_codec(r)).select("doc_id", "pos", "res").mapInPandas(run, "doc_id long, pos long, buckets string")
+
+
+@register("packed_ids", f"{HEAD} SELECT DISTINCT cid, doc_id FROM dec")
+def packed_ids(spark, d):
+    """The documents of each list through a stream of 20 bits a number."""
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        ids = rows["doc_id"].tolist()
+        return pd.DataFrame({"cid": rows["cid"], "doc_id": quantize.unpack_ids(quantize.pack_ids(ids, 20), len(ids), 20)})
+
+    lists = late.inverted_lists(coded(spark, d)).select(F.col("cid").cast("int").alias("cid"), "doc_id")
+    return lists.groupBy("cid").applyInPandas(run, "cid int, doc_id long")
+
+
+@register("late_token_kmeans", "SELECT unnest(range(16)) AS cid, true AS unit")
+def late_token_kmeans(spark, d):
+    c = late.train_tokens(tokens(spark, d), 16)
+    return c.select("cid", (F.abs(vx.dot(F.col("c"), F.col("c")) - 1) < 2e-3).alias("unit"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..operators import corpus, lexical
+from ..sources import readers
 from ..sources.scratch import once
 
 #: (qid, text): frequent, rare, accented, absent and repeated words.
@@ -224,3 +225,12 @@ def skip_tokens(spark, d):
 @register("word_windows", f"WITH {TOKS}, w AS (SELECT t AS words, sum(len(t)) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM d), p AS (SELECT unnest(words) AS word, coalesce(before, 0) + generate_subscripts(words, 1) - 1 AS pos FROM w) SELECT (pos // 50)::BIGINT AS doc_id, string_agg(word, ' ' ORDER BY pos) AS text FROM p GROUP BY 1")
 def word_windows(spark, d):
     return corpus.word_windows(corpus.word_positions(lexical.tokenized(docs(spark, d))))
+
+
+@register("read_corpus", r"SELECT row_number() OVER (ORDER BY doc_id) - 1 AS id, body FROM (SELECT doc_id, array_to_string(list_slice(string_split(trim(regexp_replace(text, '\s+', ' ', 'g')), ' '), 1, 50), ' ') AS body FROM documents) WHERE trim(body) <> ''")
+def read_corpus(spark, d):
+    """Documents written as a line each, in order, and read again."""
+    def write(path: str) -> None:
+        docs(spark, d).orderBy("doc_id").select(tx.first_words(F.col("text")).alias("value")).where("value IS NOT NULL").write.mode("overwrite").text(path)
+
+    return readers.read_corpus(spark, once(spark, "corpus", f"{d}/documents.parquet", write))

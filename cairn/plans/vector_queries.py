@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import vectors as vx
 from ..operators import dense, graph, ivf, quantize
 from ..sources.scratch import once, stash
-from .snapshot import Snapshot, live
+from .snapshot import Snapshot, discover, live
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -421,3 +422,29 @@ def snapshot_graph(spark, d):
 @register("snapshot_ivf", RECALLED)
 def snapshot_ivf(spark, d):
     return _snapshot_recall(spark, d, "ivf")
+
+
+@register("snapshot_discover", "SELECT * FROM (VALUES ('exact', 'cosine', 'vec_id'), ('graph', 'cosine', 'vec_id'), ('ivf', 'cosine', 'vec_id')) t(layout, metric, id_col)")
+def snapshot_discover(spark, d):
+    paths = [changed_snapshot(spark, d, layout).path for layout in ("exact", "graph", "ivf")]
+    return discover(spark, paths).select("layout", "metric", "id_col")
+
+
+@register("pq_decode", f"WITH {E}, {SUB} SELECT vec_id, j * 8 + k AS d, round(c[k + 1], 6) + 0 AS x FROM codes, (SELECT unnest(range(8)) AS k)")
+def pq_decode(spark, d):
+    own = book(spark, d)
+
+    def run(batches):
+        for batch in batches:
+            yield pd.DataFrame({"vec_id": batch["vec_id"], "v": list(own.restored(np.stack(batch["code"].to_numpy()).astype(np.int64)))}) if len(batch) else pd.DataFrame({"vec_id": [], "v": []})
+
+    decoded = quantize.pq_encode(emb(spark, d), own).mapInPandas(run, "vec_id long, v array<double>")
+    return decoded.select("vec_id", F.posexplode("v").alias("d", "x")).select("vec_id", F.col("d").cast("long").alias("d"), (F.round("x", 6) + 0.0).alias("x"))
+
+
+@register("ivf_trained", RECALLED)
+def ivf_trained(spark, d):
+    """Centroids by k-means, as they are stored, and a codebook of residuals."""
+    c = quantize.quantize_centroids(ivf.train_centroids(emb(spark, d), ivf.list_count(emb(spark, d).count(), 16)), 8)
+    trained = quantize.train_pq(ivf.residuals(emb(spark, d), c), M, codes=64)
+    return _recalled(spark, d, ivf.search(ivf.build(emb(spark, d), c, trained), asked(spark, d), nprobe=14, rerank_k=200))
