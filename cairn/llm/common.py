@@ -38,7 +38,7 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 
 
 #: Keys that hold so many rows, and one row in ``HOT_SHARE`` or more, are hot: ``HOT_SHARE`` keys at most.
-HOT_LEAST, HOT_SHARE = 10_000, 500
+HOT_LEAST, HOT_SHARE = 1_000, 500
 
 
 def join_unique(rows: DataFrame, unique: DataFrame, keys: list[str], least: int | None = None) -> DataFrame:
