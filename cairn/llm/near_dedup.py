@@ -37,7 +37,7 @@ BLOCK = 512
 #: Lists of up to so many members are compared on signatures alone before texts are.
 SHORT = 64
 #: Words whose hashes a worker remembers at most.
-MEMO_WORDS = 400_000
+MEMO_WORDS = 200_000
 
 _rng = np.random.default_rng(20240229)
 _FLIP = _rng.integers(0, 1 << 32, COORDINATES, dtype=np.uint32)[:, None]
@@ -56,6 +56,12 @@ class _Hashes(dict):
 _hashes = _Hashes()
 
 
+def _give_back() -> None:
+    """Free what a task has gathered: workers outlive it, and stages to come need the memory."""
+    _hashes.clear()
+    pa.default_memory_pool().release_unused()
+
+
 def _mix(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(32))) * _MIX
     return h ^ (h >> np.uint64(29))
@@ -115,6 +121,7 @@ def _sets(rows: DataFrame, width: int) -> DataFrame:
                     [part.column(0), part.column(1), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))],
                     ["id", "mark", "n_shingles", "digest", "sig"],
                 )
+        _give_back()
 
     return rows.mapInArrow(run, "id long, mark long, n_shingles long, digest binary, sig array<int>")
 
@@ -134,6 +141,7 @@ def _confirm(pairs: DataFrame, width: int, percent: int) -> DataFrame:
                 both = len(own & known[1])
                 keep.append(100 * both >= percent * (len(own) + len(known[1]) - both))
             yield batch.filter(pa.array(keep, pa.bool_())).select([0, 1])
+        _give_back()
 
     node = "struct<id:long,mark:long>"
     return pairs.select("a", "b", "text_a", "text_b").mapInArrow(run, f"a {node}, b {node}")
@@ -204,6 +212,7 @@ def _short_hashes(texts: DataFrame, width: int) -> DataFrame:
         for batch in batches:
             cut = [np.unique(shingle_hashes(words_of(x.as_py()), width) >> np.uint64(32)).astype("<u4").tobytes() for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cut, pa.binary())], ["node", "hashes"])
+        _give_back()
 
     return texts.select("node", "text").mapInArrow(run, "node struct<id:long,mark:long>, hashes binary")
 
