@@ -9,7 +9,7 @@ import pytest
 from cairn.plans import late_queries
 from tests.test_oracles import table
 
-NAMES = ["residual_decode", "late_exact", "plaid_codes", "plaid_ivf"]
+NAMES = ["residual_decode", "late_exact", "plaid_codes", "plaid_ivf", "warp_options"]
 
 
 @pytest.fixture(scope="module")
