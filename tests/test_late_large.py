@@ -9,7 +9,7 @@ import pytest
 from cairn.plans import late_queries
 from tests.test_oracles import table
 
-NAMES = ["residual_decode", "late_exact", "plaid_codes", "plaid_ivf", "warp_options", "warp_rerank", "warp_search", "warp_stoplist"]
+NAMES = ["residual_decode", "late_exact", "plaid_codes", "plaid_ivf", "warp_options", "warp_rerank", "warp_search", "warp_stoplist", "warp_two_level"]
 
 
 @pytest.fixture(scope="module")
