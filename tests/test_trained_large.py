@@ -8,7 +8,7 @@ import pytest
 from cairn.operators import ivf, quantize
 from cairn.plans import vector_queries
 
-NAMES = ["pq_trained", "opq_trained"]
+NAMES = ["pq_trained", "opq_trained", "ivf_trained"]
 
 
 @pytest.fixture(scope="module")
